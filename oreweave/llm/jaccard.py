@@ -79,6 +79,8 @@ class Csr:
         self.owner = owner[order]
         self.values, self.first = np.unique(flat[order], return_index=True)
         self.bound = np.append(self.first, len(flat))
+        spread = np.repeat(np.diff(self.bound), np.diff(self.bound)).astype(float)
+        self.weight = np.bincount(self.owner, spread, minlength=len(rows))  # how often each row's numbers stand in all rows
 
     def find(self, row: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.values, row)
@@ -108,8 +110,8 @@ def region_join(rows: list[np.ndarray], n: np.ndarray, near: int = 75) -> np.nda
         root[max(i, j)] = min(i, j)
 
     covered, pivots, ball, shares = np.zeros(len(rows), bool), [], {}, {}
-    # the fullest first: what many others hold covers most
-    for i in np.argsort(-n, kind="stable").tolist():
+    # those first whose members are the most common: near the middle of a group they cover most of it
+    for i in np.argsort(-csr.weight / np.maximum(1, n), kind="stable").tolist():
         if covered[i]:
             continue
         both = csr.find(rows[i])
