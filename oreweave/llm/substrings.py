@@ -10,7 +10,8 @@ suffix tree level by level; a node of depth ``window`` with two leaves is a repe
 segments is lengthened to the whole window, whose nodes are counted by a plain aggregation, so that no subtree outgrows
 memory.
 
-Segments, prefixes and windows of hot prefixes are compared by hashes of 128, 64 and 128 bits; words in subtrees themselves.
+Segments are compared by their anchor's and their own hash, 128 bits together, prefixes by 64 and windows of hot prefixes by 128
+bits; in subtrees the words themselves are.
 
 Edge cases. A null text has no words, as an empty one. A text of fewer words than a window loses none. Copies and rows that
 repeat lose all words covered by a window. An empty table gives an empty result. Further columns are not looked at.
@@ -35,12 +36,12 @@ GATHER = 4000
 
 
 def segments(p: Packed, window: int, prefix: int) -> dict[str, np.ndarray]:
-    """Of each segment: hash of its anchor, first start as a word index, number of starts and 128-bit hash of its words."""
+    """Of each segment: hash of its anchor, first start as a word index, number of starts and hash of its words."""
     words = p.word_hashes()
     n, runs = len(words), window - prefix + 1
     starts = np.flatnonzero(np.arange(n) + window <= p.first[p.doc + 1]) if n else np.zeros(0, int)
     if not len(starts):
-        return {k: np.zeros(0, t) for k, t in (("gram", np.uint64), ("start", np.int64), ("n", np.int64), ("h1", np.uint64), ("h2", np.uint64))}
+        return {k: np.zeros(0, t) for k, t in (("gram", np.uint64), ("start", np.int64), ("n", np.int64), ("h", np.uint64))}
     at = np.arange(n - prefix + 1)
     least = Rolling(words).of(at, at + prefix)
     place = at.copy()
@@ -58,7 +59,7 @@ def segments(p: Packed, window: int, prefix: int) -> dict[str, np.ndarray]:
     n_starts = np.diff(np.append(first, len(starts)))
     begin = starts[first]
     end = begin + n_starts - 1 + window
-    return {"gram": gram[first], "start": begin, "n": n_starts, "h1": Rolling(words).of(begin, end), "h2": Rolling(mix(words + _SECOND), P2).of(begin, end)}
+    return {"gram": gram[first], "start": begin, "n": n_starts, "h": Rolling(mix(words + _SECOND), P2).of(begin, end)}
 
 
 def subtree(ids: np.ndarray, bounds: np.ndarray, starts: np.ndarray, times: np.ndarray, window: int) -> np.ndarray:
@@ -88,7 +89,7 @@ def _texts(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
 def dedup_substrings(docs: DataFrame, window: int = 35, prefix: int = 8, hot: int = 5000) -> DataFrame:
     """``doc_id, text`` to ``doc_id, n_words, n_removed, kept_sha256``."""
-    kind = "gram long, h1 long, h2 long, n int"
+    kind = "gram long, h long, n int"
     keyed = docs.select("doc_id", "text", text_hash(F.col("text")).alias("t1"), text_hash(F.col("text"), 1).alias("t2"))
 
     def cut(batches):
@@ -98,12 +99,12 @@ def dedup_substrings(docs: DataFrame, window: int = 35, prefix: int = 8, hot: in
                 s = segments(p, window, prefix)
                 doc = p.doc[s["start"]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(s["gram"])), pa.array(signed(s["h1"])), pa.array(signed(s["h2"])), pa.array(s["n"].astype(np.int32)), pa.array(t1[i + doc]), pa.array(t2[i + doc]), pa.array((s["start"] - p.first[doc]).astype(np.int32))],
-                    ["gram", "h1", "h2", "n", "t1", "t2", "s"],
+                    [pa.array(signed(s["gram"])), pa.array(signed(s["h"])), pa.array(s["n"].astype(np.int32)), pa.array(t1[i + doc]), pa.array(t2[i + doc]), pa.array((s["start"] - p.first[doc]).astype(np.int32))],
+                    ["gram", "h", "n", "t1", "t2", "s"],
                 )
 
     segs = stored(keyed.select("text", "t1", "t2").mapInArrow(cut, f"{kind}, t1 long, t2 long, s int"), "segments")
-    key = ["gram", "h1", "h2", "n"]
+    key = ["gram", "h", "n"]
     classes = segs.groupBy(*key).agg(F.count("*").alias("times"), F.first("t1").alias("t1"), F.first("t2").alias("t2"), F.first("s").alias("s"))
     shared = classes.groupBy("gram").agg(F.count("*").alias("classes")).filter("classes > 1")
     meet = classes.join(shared, "gram").select(*key, "times", "t1", "t2", "s", (F.col("classes") > hot).alias("hot"))
@@ -133,7 +134,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, prefix: int = 8, hot: in
                     out |= {"words": [None] * len(a), "at": local, "w1": signed(one.of(a, a + window)), "w2": signed(two.of(a, a + window))}
                     yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), types, strict=True)})
 
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
     read = wanted.join(texts, ["t1", "t2"]).select("segs", "text").mapInArrow(fetch, f"{kind}, times long, words string, at int, w1 long, w2 long")
     read = stored(read, "subtrees")
 
@@ -146,7 +147,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, prefix: int = 8, hot: in
         found = [np.flatnonzero(twice[e - k : e]).tolist() for e, k in zip(ends, n, strict=True)]
         keep = [i for i, f in enumerate(found) if f and rows["times"][i] == 1]
         cols = {c: [rows[c][i] for i in keep] for c in key} | {"at": [found[i] for i in keep]}
-        return pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(cols.items(), [*types[:4], pa.list_(pa.int32())], strict=True)})
+        return pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(cols.items(), [*types[:3], pa.list_(pa.int32())], strict=True)})
 
     def trees(batches):
         held: dict[str, list] = {c: [] for c in (*key, "times", "words")}
