@@ -46,38 +46,57 @@ class Model:
         return out
 
 
+def bags(texts: list[str], bits: int, min_texts: int) -> tuple[np.ndarray, ...]:
+    """Sparse shares of words in texts (text, word, share) and of n-grams in words (n-gram, word), and the number of words.
+
+    A word of fewer than ``min_texts`` texts teaches its n-grams little: it counts in the mean, as zero. Texts are gone
+    through in slices, so that byte-wise arrays stay small beside the texts themselves.
+    """
+    column, hashes, docs, totals = pa.array(texts, pa.large_string()), [], [], []
+    for i, _, p in slices(column, lower=True):
+        hashes.append(p.word_hashes())
+        docs.append(i + p.doc)
+        totals.append(p.n_words)
+    vocabulary, which = np.unique(np.concatenate(hashes), return_inverse=True)
+    pairs, counts = np.unique(np.concatenate(docs) * len(vocabulary) + which, return_counts=True)
+    doc, word = pairs // len(vocabulary), pairs % len(vocabulary)
+    of_doc = counts / np.concatenate(totals)[doc]
+    often = np.bincount(word, minlength=len(vocabulary)) >= min_texts
+    slot, keep = np.cumsum(often) - 1, often[word]
+    feats, owner, todo = [], [], often.copy()
+    for _, _, p in slices(column, lower=True):
+        first, _, own = distinct_words(p)
+        at = np.searchsorted(vocabulary, own)
+        new = todo[at]
+        todo[at[new]] = False
+        f, o = ngrams(p, first[new], SIZES, bits)
+        feats.append(f)
+        owner.append(slot[at[new]][o])
+    return doc[keep], slot[word[keep]], of_doc[keep], np.concatenate(feats), np.concatenate(owner), int(often.sum())
+
+
 def train(texts: list[str], toxic: list[int], bits: int = 18, dim: int = 2, epochs: int = 60, rate: float = 0.1, scale: float = 40.0, decay: float = 3e-5, min_texts: int = 2, weight: float = 0.5, seed: int = 7) -> Model:
     """``scale`` multiplies the mean, as a few words of a long text must be able to decide."""
     y = np.asarray(toxic, float)
     if not len(y) or y.min() == y.max():
         return Model(bits, np.zeros(1 << bits), 500.0 if len(y) and y[0] else -500.0)
-    column = pa.array(texts, pa.large_string())
-    _, _, p = next(slices(column, limit=1 << 62, lower=True))
-    words, which, _ = distinct_words(p)
-    pairs, counts = np.unique(p.doc.astype(np.int64) * len(words) + which, return_counts=True)
-    doc, word = pairs // len(words), pairs % len(words)
-    of_doc = counts / p.n_words[doc]
-    # a word of one text only teaches its n-grams little: it counts in the mean, as zero
-    often = np.bincount(word, minlength=len(words)) >= min_texts
-    slot = np.cumsum(often) - 1
-    keep = often[word]
-    doc, word, of_doc, words = doc[keep], slot[word[keep]], of_doc[keep], words[often]
-    feats, owner = ngrams(p, words, SIZES, bits)
-    of_word = 1 / np.maximum(1, np.bincount(owner, minlength=len(words)))[owner]
+    doc, word, of_doc, feats, owner, n_words = bags(texts, bits, min_texts)
+    of_word = 1 / np.maximum(1, np.bincount(owner, minlength=n_words))[owner]
     used, feats = np.unique(feats, return_inverse=True)
+    feats, owner = feats.astype(np.int32), owner.astype(np.int32)
     rng = np.random.default_rng(seed)
     table, top, bias = np.zeros((len(used), dim)), rng.normal(0, 0.5, (dim, 2)), np.zeros(2)
     adam, n = Adam([table.shape, top.shape, bias.shape], rate), len(texts)
     onehot = np.stack([1 - y, y], axis=1)
     share = np.where(y == 1, (n / (2 * y.sum())) ** weight, (n / (2 * (n - y.sum()))) ** weight)[:, None]
     for _ in range(epochs):
-        vectors = segment_sums(table[feats] * of_word[:, None], owner, len(words))
+        vectors = segment_sums(table[feats] * of_word[:, None], owner, n_words)
         mean = scale * segment_sums(vectors[word] * of_doc[:, None], doc, n)
         z = mean @ top + bias
         q = np.exp(z - z.max(axis=1, keepdims=True))
         dz = (q / q.sum(axis=1, keepdims=True) - onehot) * share / n
         dmean = scale * (dz @ top.T)
-        dvectors = segment_sums(dmean[doc] * of_doc[:, None], word, len(words))
+        dvectors = segment_sums(dmean[doc] * of_doc[:, None], word, n_words)
         dtable = segment_sums(dvectors[owner] * of_word[:, None], feats, len(used))
         adam.step([table, top, bias], [dtable + decay * table, mean.T @ dz + decay * top, dz.sum(axis=0)])
     shares = np.zeros(1 << bits)
@@ -85,16 +104,16 @@ def train(texts: list[str], toxic: list[int], bits: int = 18, dim: int = 2, epoc
     return Model(bits, shares, float(bias[1] - bias[0]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = 1500) -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, most: int = 1000) -> tuple[list[str], list[int]]:
     """Texts and labels of at most ``most`` toxic rows and twice as many others, by a hash of the id; ids with crc32 mod 3 = 1 are held out."""
     open_ = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").filter(crc_mod3(F.col("doc_id")) != 1)
-    picked = open_.dropDuplicates(["doc_id"]).withColumn("_n", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("_n") <= F.when(F.col("toxic") == 1, most).otherwise(2 * most))
+    picked = open_.dropDuplicates(["doc_id"]).withColumn("_n", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("_n") <= 2 * most).filter(F.col("_n") <= F.when(F.col("toxic") == 1, most).otherwise(2 * most))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked.drop("_n")), "doc_id").filter("text is not null").limit(6 * most).collect()
     rows.sort(key=lambda r: (str(r["doc_id"]), r["text"]))
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 1500, threshold: float = 0.7) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 1000, threshold: float = 0.7) -> DataFrame:
     """``doc_id, text`` and ``doc_id, toxic`` to ``doc_id, held_out, score, predicted``."""
     model = docs.sparkSession.sparkContext.broadcast(train(*sample(docs, labels, most)))
 
