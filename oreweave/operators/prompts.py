@@ -55,6 +55,14 @@ def prompts(targets: DataFrame, context: DataFrame, headers: DataFrame) -> DataF
     return out.select("binary_id", "target", F.concat(F.concat_ws("\n\n", *parts), F.lit("\n")).alias("model_input"))
 
 
+def context_overview(context: DataFrame) -> DataFrame:
+    """``binary_id, target, overview``: a comment line for each chosen function, in order of selection."""
+    mode = F.col("append_mode") if "append_mode" in context.columns else F.lit("assembly")
+    line = F.concat(F.lit(";;; Function: "), F.coalesce("name", F.lit("unknown_function")), F.lit(" (degree "), F.col("degree").cast("string"), F.lit(", role "), F.col("role"), F.lit(", mode "), F.coalesce(mode, F.lit("assembly")), F.lit(")\n"))
+    each = F.array_sort(F.collect_list(F.struct("sel_ord", line.alias("t"))))
+    return context.groupBy("binary_id", "target").agg(F.concat(F.array_join(F.transform(each, lambda x: x["t"]), ""), F.lit("\n")).alias("overview"))
+
+
 def legacy_prompts(targets: DataFrame, context: DataFrame) -> DataFrame:
     """The older layout: each context function under a comment line, separated by marks, the target last."""
     head = F.concat(F.lit(";;; Context: "), F.coalesce(F.nullif("name", F.lit("")), F.lit("unknown_function")), F.lit(" (degree "), F.col("degree").cast("string"), F.lit(", role "), F.col("role"), F.lit(")\n"), F.col("assembly"))

@@ -317,6 +317,9 @@ def tiny_filter(spark, d):
     return A.functions(spark, d).select("addr", C.is_tiny(F.col("n_blocks"), F.col("n_insns")).alias("is_tiny"))
 
 
+KIND = "case when " + " or ".join(f"contains(lower(text), '{w}')" for w in fixed.COMMAND_WORDS) + f" then 'CMD' when regexp_matches(text, '{fixed.FORMAT_PATTERN}') then 'FMT' else 'STR' end"
+BLOB = f"case when length(regexp_replace(text, '[^\\x09\\x0a\\x0d\\x20-\\x7e]', '', 'g'))::double / octet_length(encode(text)) >= 0.7 then {KIND} else 'DAT' end"
+
 # listings, headers, prompts
 
 LISTING = "b as (select conv_id, string_agg(';;; Block @ 0x' || lower(to_hex(turn * 16 + 4096)) || chr(10) || text, chr(10) order by turn) as assembly from conversations where text is not null group by conv_id)"
@@ -379,6 +382,19 @@ def legacy_prompt(spark, d):
     return prompts.legacy_prompts(targets, context).select("target", "model_input")
 
 
+@query(f"{PICKED} select pi.t as target, string_agg(';;; Function: ' || name || ' (degree ' || degree || ', role ' || role || ', mode assembly)' || chr(10), '' order by sel_ord) || chr(10) as overview from pi join sc on sc.t = pi.t and sc.f = pi.f group by pi.t")
+def context_overview(spark, d):
+    out, cands = _selected(spark, d)
+    return prompts.context_overview(selection.picked_rows(out, cands)).select("target", "overview")
+
+
+@query(f"with {A.LIT_SQL} select addr % 1000 as func_addr, count(*) as n_literals, count(*) filter (where {BLOB} <> 'DAT') as n_named from lit group by 1")
+def literal_multimap(spark, d):
+    """Literals of each function, gathered and counted."""
+    made = constants.classified(A.literals(spark, d).withColumn("bytes", F.encode("text", "UTF-8")).withColumn("func_addr", F.col("addr") % 1000).withColumn("ord", F.lit(0)))
+    return labels.pools(made, "func_addr").join(made.groupBy("func_addr").agg(F.count("*").alias("n_literals")), "func_addr").select("func_addr", "n_literals", F.size("pool").cast("long").alias("n_named"))
+
+
 # constants and labels
 
 
@@ -387,10 +403,6 @@ def printable(spark, d):
     return A.literals(spark, d).select("addr", C.is_printable(F.encode("text", "UTF-8")).alias("printable"))
 
 
-KIND = "case when " + " or ".join(f"contains(lower(text), '{w}')" for w in fixed.COMMAND_WORDS) + f" then 'CMD' when regexp_matches(text, '{fixed.FORMAT_PATTERN}') then 'FMT' else 'STR' end"
-BLOB = f"case when length(regexp_replace(text, '[^\\x09\\x0a\\x0d\\x20-\\x7e]', '', 'g'))::double / octet_length(encode(text)) >= 0.7 then {KIND} else 'DAT' end"
-
-
 @query(f"with {A.LIT_SQL} select addr, {KIND} as kind from lit")
 def classify_literals(spark, d):
     return A.literals(spark, d).select("addr", C.literal_kind(F.col("text")).alias("kind"))
