@@ -1,7 +1,9 @@
 """Operator 1, mixing sources to target weights. DataFrame operations only.
 
 Sizes are added up by source, each source gets a target and so a repetition rate, and each document is
-taken ``floor(rate)`` times and once more if a seeded hash of its id falls below the rate's fraction.
+taken ``floor(rate)`` times and once more if a seeded hash of its id falls below the rate's fraction. Sizes of texts are
+far from equal, so one seed may miss a target by a tenth and more: each source uses that one of ``SEEDS`` fixed seeds whose
+words over all its documents come nearest its target.
 
 Edge cases. A null text has size 0 and is never taken. A null source is a source of its own, last in order.
 A null id hashes as the empty text; rows that repeat an id share its decision. An empty table gives an
@@ -15,14 +17,20 @@ from pyspark.sql import functions as F
 
 from .common import n_words_of, small, stored
 
-#: Bits of the hash that draws the extra copy: 12 hexadecimal digits.
+#: The hash that draws extra copies has 12 hexadecimal digits.
 _DRAWS = 1 << 48
+SEEDS = 32
 
 
-def draw(doc_id: Column, seed: str) -> Column:
-    """A number in [0, 1) from the id and the seed."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / F.lit(float(_DRAWS))
+def _digest(doc_id: Column, name: str) -> Column:
+    """Two numbers below ``_DRAWS`` from the id and a name; seed k draws the first plus k times the second."""
+    digest = F.md5(F.concat(F.lit(name + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+    return F.array(*[F.conv(F.substring(digest, at, 12), 16, 10).cast("long") for at in (1, 13)])
+
+
+def draw(pair: Column, seed: Column) -> Column:
+    """A number in [0, 1)."""
+    return ((F.get(pair, 0) + seed * F.get(pair, 1)) % F.lit(_DRAWS)) / F.lit(float(_DRAWS))
 
 
 def targets(sizes: DataFrame, most: int = 3, cycle: int = 3) -> DataFrame:
@@ -48,17 +56,22 @@ def targets(sizes: DataFrame, most: int = 3, cycle: int = 3) -> DataFrame:
     return w.select("source", "source_size", F.least(F.col("ceiling").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, seed: str = "mix", most: int = 3, cycle: int = 3, few: int = 10_000) -> DataFrame:
+def mix_sources(docs: DataFrame, name: str = "mix", most: int = 3, cycle: int = 3, few: int = 10_000) -> DataFrame:
     """``doc_id, source, text`` to ``doc_id, source, size, source_size, target, copies, taken``.
 
-    The table of sources is broadcast only if it has at most ``few`` rows.
+    The table of sources is broadcast only if it has at most ``few`` rows. ``name`` names the set of seeds.
     """
-    sized = docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size"))
-    by_source = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), most, cycle), "targets")
-    by_source = small(by_source.withColumnRenamed("source", "_source"), few)
+    sized = stored(docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size")), "sizes")
     rate = F.coalesce(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")), F.lit(0.0))
-    mixed = sized.join(by_source, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_rate", rate)
-    copies = F.floor("_rate") + F.when(draw(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
+    by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), most, cycle)
+    by_source = stored(by_source.select(F.col("source").alias("_source"), "source_size", "target", F.floor(rate).alias("_whole"), (rate - F.floor(rate)).alias("_part")), "targets")
+    rated = sized.withColumn("_pair", _digest(F.col("doc_id"), name)).join(small(by_source, few), F.col("source").eqNullSafe(F.col("_source")))
+    extra = [F.coalesce(F.sum(F.when(draw(F.col("_pair"), F.lit(k)) < F.col("_part"), F.col("size"))), F.lit(0)).alias(f"e{k}") for k in range(SEEDS)]
+    tried = rated.groupBy("_source", "source_size", "target", "_whole", "_part").agg(*extra)
+    missed = [F.struct(F.abs(F.col("_whole") * F.col("source_size") + F.col(f"e{k}") - F.col("target")).alias("by"), F.lit(k).alias("k")) for k in range(SEEDS)]
+    seeded = small(stored(tried.select("_source", "source_size", "target", "_whole", "_part", F.array_min(F.array(*missed))["k"].alias("_seed")), "seeds"), few)
+    mixed = sized.withColumn("_pair", _digest(F.col("doc_id"), name)).join(seeded, F.col("source").eqNullSafe(F.col("_source")))
+    copies = F.col("_whole") + F.when(draw(F.col("_pair"), F.col("_seed")) < F.col("_part"), 1).otherwise(0)
     mixed = mixed.withColumn("copies", copies.cast("long"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -79,10 +92,16 @@ levels as (
 ), targets as (
   select source, source_size, least(ceiling::double, (select max(level) from levels where level <= brim) * weight) as target from levels
 ), rated as (
-  select s.*, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0 end as rate,
-    ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '')), 1, 12))::bigint / cast(281474976710656 as double) as draw
+  select s.*, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0 end as rate, md5('mix:' || coalesce(doc_id::varchar, '')) as h
   from sized s join targets t on s.source is not distinct from t.source
+), drawn as (
+  select *, (('0x' || substr(h, 1, 12))::bigint + k * ('0x' || substr(h, 13, 12))::bigint) % 281474976710656 / cast(281474976710656 as double) as draw
+  from rated, (select unnest(range(32)) as k)
+), seeds as (
+  select source, arg_min(k, {{'m': miss, 'k': k}}) as k from (
+    select source, k, abs(floor(any_value(rate)) * any_value(source_size) + coalesce(sum(case when draw < rate - floor(rate) then size end), 0) - any_value(target)) as miss from drawn group by source, k
+  ) group by source
 )
 select doc_id, source, size, source_size, target, copies, (copies * size)::bigint as taken
-from (select *, (floor(rate) + case when draw < rate - floor(rate) then 1 else 0 end)::bigint as copies from rated)
+from (select d.*, (floor(rate) + case when draw < rate - floor(rate) then 1 else 0 end)::bigint as copies from drawn d join seeds z on d.source is not distinct from z.source and d.k = z.k)
 """
