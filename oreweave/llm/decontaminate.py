@@ -66,7 +66,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, k:
     ``least`` in some window, with its best similarity.
 
     A fingerprint differs from its item's in about 11 bits at a similarity of 0.75, and in 24 or more hardly
-    ever. Benchmark tables and candidate lists are broadcast only if at most ``few`` rows.
+    ever. The benchmark's shingles are broadcast only if at most ``few`` rows of three numbers, its index and the candidate
+    windows, whose rows hold arrays, only if a tenth of that.
     """
     cuts = blocks(radius)
     n_words = F.size(words_of(F.col("text")))
@@ -87,7 +88,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, k:
     starts = F.flatten(F.transform("ps", lambda p, i: F.when(last(i) - p < F.col("runs"), F.sequence(F.greatest(F.lit(0), last(i) - F.col("runs") + 1), p)).otherwise(F.array().cast("array<int>"))))
     windows = placed.select("doc_id", "t", "size", "k", F.explode(F.array_distinct(starts)).alias("s")).distinct()
     found = windows.groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_set(F.struct("size", "k", "s")).alias("windows"))
-    found = small(stored(found, "windows"), few)
+    found = small(stored(found, "windows"), few // 10)
     looked = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).dropDuplicates(["doc_id", "t"])
     parts = []
     for j in kinds:
@@ -97,7 +98,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, k:
     cut = reduce(DataFrame.unionByName, parts).withColumn("wfp", simhash(F.col("wh")))
     tagged = lambda fp: F.array(*[F.struct(F.lit(n).alias("b"), _block(fp, *c).alias("v")) for n, c in enumerate(cuts)])
     index = items.select("item_id", "size", "ih", "fp", F.explode(tagged(F.col("fp"))).alias("i")).select("item_id", "size", "ih", "fp", F.col("i.b").alias("ib"), F.col("i.v").alias("iv"))
-    index = small(stored(index, "benchmark-index"), few)
+    index = small(stored(index, "benchmark-index"), few // 10)
     near = cut.withColumn("x", F.explode(tagged(F.col("wfp")))).join(index, (F.col("ws") == F.col("size")) & (F.col("x.b") == F.col("ib")) & (F.col("x.v") == F.col("iv")))
     apart = F.col("wfp").bitwiseXOR(F.col("fp"))
     first = F.array_position(F.array(*[_block(apart, *c) == 0 for c in cuts]), True) - 1  # each pair counts in the first block it agrees in
