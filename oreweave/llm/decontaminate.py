@@ -77,7 +77,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, k:
     items = stored(items.withColumn("fp", simhash(F.col("ih"))).withColumn("need", F.ceil(F.size("ih") * least).cast("int")), "benchmark")
     kinds = sorted(r[0] for r in items.select("k").distinct().collect())  # k numbers at most
     if not kinds:
-        return docs.select("doc_id").crossJoin(items.select("item_id")).select("doc_id", "item_id", F.lit(0.0).alias("similarity")).limit(0)
+        none = F.lit(None).cast(benchmark.schema["item_id"].dataType)
+        return docs.select("doc_id", none.alias("item_id"), F.lit(0.0).alias("similarity")).filter("false")
     wanted = small(stored(items.select("item_id", "size", F.col("k").alias("ik"), "need", F.size("ih").alias("runs"), F.explode(F.array_distinct("ih")).alias("sh")), "benchmark-shingles"), few)
     keyed = docs.select("doc_id", "text", text_hash(F.col("text")).alias("t"))
     at = reduce(DataFrame.unionByName, [keyed.select("doc_id", "t", F.lit(j).alias("k"), F.posexplode(shingles(F.col("text"), j)).alias("p", "h")) for j in kinds])

@@ -149,7 +149,7 @@ def region_join(rows: list[np.ndarray], n: np.ndarray, near: int = 75) -> np.nda
     return np.array([top(i) for i in range(len(rows))], np.int64)
 
 
-def link_sets(docs: DataFrame, k: int = 5, near: int = 75, bucket_words: int = 3_000_000, most: int = 20_000) -> DataFrame:
+def link_sets(docs: DataFrame, k: int = 5, near: int = 75, bucket_words: int = 2_000_000, most: int = 20_000) -> DataFrame:
     """``doc_id, text`` to ``t, n, comp``: of each distinct text (by hash ``t``) the set's size and its component, the smallest
     ``t`` linked to it."""
     keyed = docs.select("text", text_hash(F.col("text")).alias("t"))
