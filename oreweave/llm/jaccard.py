@@ -7,8 +7,8 @@ frequency and hash, the first few must meet the first few of any partner; docume
 put into one region, so no link leaves its region. (3) Inside a region pivots do the join: a document that no pivot covers
 becomes one, its distances to the region's documents are taken, and those within 0.25 are its Voronoi ball and
 linked. By the triangle inequality two balls can only link where their pivots are at most 0.75 apart, and only documents
-within 0.5 of the other pivot (the boundary window) are compared. A region of more than ``most`` documents is cut in parts, and
-each pair of parts joins in a task of its own, so that memory stays bounded.
+within 0.5 of the other pivot (the boundary window) are compared. A region of more than ``most`` documents or ``most_members``
+members is cut in parts, and each pair of parts joins in a task of its own, so that memory stays bounded.
 
 Texts are told apart by 64 bits of hash, set members by 40 bits and the bucket's number. Sets are compared in full.
 
@@ -149,7 +149,7 @@ def region_join(rows: list[np.ndarray], n: np.ndarray, near: int = 75) -> np.nda
     return np.array([top(i) for i in range(len(rows))], np.int64)
 
 
-def link_sets(docs: DataFrame, k: int = 5, near: int = 75, bucket_words: int = 2_000_000, most: int = 20_000) -> DataFrame:
+def link_sets(docs: DataFrame, k: int = 5, near: int = 75, bucket_words: int = 2_000_000, most: int = 20_000, most_members: int = 4_000_000) -> DataFrame:
     """``doc_id, text`` to ``t, n, comp``: of each distinct text (by hash ``t``) the set's size and its component, the smallest
     ``t`` linked to it."""
     keyed = docs.select("text", text_hash(F.col("text")).alias("t"))
@@ -254,11 +254,11 @@ def link_sets(docs: DataFrame, k: int = 5, near: int = 75, bucket_words: int = 2
         must = np.where(alive, n0 - (near * n0 + 99) // 100 + 1 - (n0 - common), 0)
         for s in range(0, len(t0), 1000):
             z = slice(s, s + 1000)
-            yield pa.RecordBatch.from_arrays([pa.array(t0[z]), pa.array(n0[z].astype(np.int32)), pa.array(must[z].astype(np.int32)), pa.array([m or None for m in members[z]], pa.binary())], ["t", "n", "must", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(t0[z]), pa.array(n0[z].astype(np.int32)), pa.array(must[z].astype(np.int32)), pa.array(common[z].astype(np.int32)), pa.array([m or None for m in members[z]], pa.binary())], ["t", "n", "must", "common", "members"])
 
     dealt = keyed.mapInArrow(deal, pack_kind)
     counted = dealt.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(count, pack_kind)
-    sets = stored(counted.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(gather, "t long, n int, must int, members binary"), "sets")
+    sets = stored(counted.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(gather, "t long, n int, must int, common int, members binary"), "sets")
 
     def firsts(batches):
         for b in batches:
@@ -271,8 +271,10 @@ def link_sets(docs: DataFrame, k: int = 5, near: int = 75, bucket_words: int = 2
     least = met.groupBy("v").agg(F.min("t").alias("m"), F.count("*").alias("c")).filter("c > 1").select("v", "m")
     region = stored(components(met.join(least, "v").select(F.col("t").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()), "regions")
 
-    sizes = region.groupBy("root").agg(F.count("*").alias("docs"))
-    placed = region.join(sizes, "root").select(F.col("node").alias("t"), "root", (F.ceil(F.col("docs") / most) * F.when(F.col("docs") > most, 2).otherwise(1)).cast("int").alias("parts"))
+    weighed = region.join(alive.select(F.col("t").alias("node"), "common"), "node")
+    sizes = weighed.groupBy("root").agg(F.count("*").alias("docs"), F.sum("common").alias("held"))
+    fill = F.ceil(F.greatest(F.col("docs") / most, F.col("held") / most_members))
+    placed = region.join(sizes, "root").select(F.col("node").alias("t"), "root", F.when(fill > 1, 2 * fill).otherwise(1).cast("int").alias("parts"))
     # parts of a large region meet pairwise; a small one has one part, which meets itself
     part = F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")
     pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != part), lambda x: F.struct(F.least(x, part).alias("i"), F.greatest(x, part).alias("j"))))

@@ -103,7 +103,7 @@ def test_components(spark, at_once):
     assert got == {x: min(root[x]) for x in linked}
 
 
-@pytest.mark.parametrize("limits", [{}, {"most": 3, "bucket_words": 50}])
+@pytest.mark.parametrize("limits", [{}, {"most": 3, "bucket_words": 50}, {"most_members": 300}])
 def test_jaccard(spark, odd, none, limits):
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(odd, **limits).collect())
     assert got == Counter(brute.jaccard(pairs(odd)))
