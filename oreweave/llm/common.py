@@ -1,28 +1,18 @@
-"""What several operators share: native expressions, shared-folder tables and size-checked broadcasts."""
+"""What several operators share: native expressions, tables and size-checked broadcasts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import let  # noqa: F401
+from ..plans.store import dropped, stored  # noqa: F401
+
 #: A word: any run of characters other than space and TAB to CR.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` worked out once a row.
-
-    Catalyst may copy a projected expression into a lambda and so work it out for each element; a
-    lambda variable is bound once.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words_of(text: Column) -> Column:
     """The array of words of a text; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
@@ -37,34 +27,6 @@ def text_hash(text: Column, salt: int = 0) -> Column:
     return F.xxhash64(F.lit(salt), F.coalesce(text, F.lit("")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        now = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = now.get() if now.isDefined() else None
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="oreweave-"))
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/oreweave-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table that :func:`stored` wrote and that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Mark ``df`` for broadcast if it has at most ``rows`` rows (counted, so pass a stored table); else leave the
     join to shuffle and adaptive skew handling."""

@@ -178,7 +178,7 @@ def train(texts: list[str], languages: list[str], bits: int = 16, epochs: int =
     return Field(names, bits, w, hashes[listed][rank], lex[:-1][rank], start, moves)
 
 
-def sample(docs: DataFrame, most: int = 150, languages: int = 64) -> tuple[list[str], list[str]]:
+def sample(docs: DataFrame, most: int = 100, languages: int = 64) -> tuple[list[str], list[str]]:
     """Texts and languages of at most ``most`` rows of each of the ``languages`` most frequent languages, by a hash of the id."""
     open_ = docs.select("doc_id", F.col("lang").cast("string").alias("lang")).filter("lang is not null").filter(crc_mod3(F.col("doc_id")) != 1)
     names = [r[0] for r in open_.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
@@ -189,7 +189,7 @@ def sample(docs: DataFrame, most: int = 150, languages: int = 64) -> tuple[list[
     return [r["text"] for r in rows], [r["_lang"] for r in rows]
 
 
-def identify(docs: DataFrame, most: int = 150) -> DataFrame:
+def identify(docs: DataFrame, most: int = 100) -> DataFrame:
     """``doc_id, text, lang`` to ``doc_id, held_out, lang_pred, score``; every other column of ``docs`` but these follows."""
     field = docs.sparkSession.sparkContext.broadcast(train(*sample(docs, most)))
     extra = [f for f in docs.schema.fields if f.name not in ("doc_id", "text", "held_out", "lang_pred", "score", "_letters")]
