@@ -5,9 +5,11 @@ taken ``floor(rate)`` times and once more if a seeded hash of its id falls below
 far from equal, so one seed may miss a target by a tenth and more: each source uses that one of ``SEEDS`` fixed seeds whose
 words over all its documents come nearest its target.
 
-Edge cases. A null text has size 0 and is never taken. A null source is a source of its own, last in order.
-A null id hashes as the empty text; rows that repeat an id share its decision. An empty table gives an
-empty result. A source of size 0 has target 0. Columns beside those named are carried untouched.
+:func:`mix_sources` has the decisions, a row a document; :func:`emit_mix` has the mix itself, a row a copy.
+
+Edge cases. A null text has size 0: it is copied like others of its source, but its copies add no words. A null source is
+a source of its own, last in order. A null id hashes as the empty text; rows that repeat an id share its decision. An empty
+table gives an empty result. A source of size 0 has target 0, so that none of its documents is emitted. ``emit_mix`` carries all columns untouched.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words_of, small, stored
+from .common import dropped, n_words_of, small, stored
 
 #: The hash that draws extra copies has 12 hexadecimal digits.
 _DRAWS = 1 << 48
@@ -56,12 +58,8 @@ def targets(sizes: DataFrame, most: int = 3, cycle: int = 3) -> DataFrame:
     return w.select("source", "source_size", F.least(F.col("ceiling").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, name: str = "mix", most: int = 3, cycle: int = 3, few: int = 10_000) -> DataFrame:
-    """``doc_id, source, text`` to ``doc_id, source, size, source_size, target, copies, taken``.
-
-    The table of sources is broadcast only if it has at most ``few`` rows. ``name`` names the set of seeds.
-    """
-    sized = stored(docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size")), "sizes")
+def _seeded(sized: DataFrame, name: str, most: int, cycle: int, few: int) -> DataFrame:
+    """``doc_id, source, size``, stored, to ``_source, source_size, target, _whole, _part, _seed``."""
     rate = F.coalesce(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")), F.lit(0.0))
     by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), most, cycle)
     by_source = stored(by_source.select(F.col("source").alias("_source"), "source_size", "target", F.floor(rate).alias("_whole"), (rate - F.floor(rate)).alias("_part")), "targets")
@@ -69,11 +67,37 @@ def mix_sources(docs: DataFrame, name: str = "mix", most: int = 3, cycle: int =
     extra = [F.coalesce(F.sum(F.when(draw(F.col("_pair"), F.lit(k)) < F.col("_part"), F.col("size"))), F.lit(0)).alias(f"e{k}") for k in range(SEEDS)]
     tried = rated.groupBy("_source", "source_size", "target", "_whole", "_part").agg(*extra)
     missed = [F.struct(F.abs(F.col("_whole") * F.col("source_size") + F.col(f"e{k}") - F.col("target")).alias("by"), F.lit(k).alias("k")) for k in range(SEEDS)]
-    seeded = small(stored(tried.select("_source", "source_size", "target", "_whole", "_part", F.array_min(F.array(*missed))["k"].alias("_seed")), "seeds"), few)
-    mixed = sized.withColumn("_pair", _digest(F.col("doc_id"), name)).join(seeded, F.col("source").eqNullSafe(F.col("_source")))
+    return small(stored(tried.select("_source", "source_size", "target", "_whole", "_part", F.array_min(F.array(*missed))["k"].alias("_seed")), "seeds"), few)
+
+
+def _decided(docs: DataFrame, seeded: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the columns of ``seeded`` and ``_copies``, from the id and the source alone."""
     copies = F.col("_whole") + F.when(draw(F.col("_pair"), F.col("_seed")) < F.col("_part"), 1).otherwise(0)
-    mixed = mixed.withColumn("copies", copies.cast("long"))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return docs.withColumn("_pair", _digest(F.col("doc_id"), name)).join(seeded, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_copies", copies.cast("long"))
+
+
+def _sizes(docs: DataFrame) -> DataFrame:
+    return stored(docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size")), "sizes")
+
+
+def mix_sources(docs: DataFrame, name: str = "mix", most: int = 3, cycle: int = 3, few: int = 10_000) -> DataFrame:
+    """The counts: ``doc_id, source, text`` to ``doc_id, source, size, source_size, target, copies, taken``.
+
+    The table of sources is broadcast only if it has at most ``few`` rows. ``name`` names the set of seeds.
+    """
+    sized = _sizes(docs)
+    mixed = _decided(sized, _seeded(sized, name, most, cycle, few), name)
+    return mixed.select("doc_id", "source", "size", "source_size", "target", F.col("_copies").alias("copies"), (F.col("_copies") * F.col("size")).alias("taken"))
+
+
+def emit_mix(docs: DataFrame, name: str = "mix", most: int = 3, cycle: int = 3, few: int = 10_000) -> DataFrame:
+    """The mix: each row of ``docs`` as often as its copies in :func:`mix_sources`, with a number from 1 in ``copy`` (which a column of that name gives way to)."""
+    sized = _sizes(docs)
+    rates = _seeded(sized, name, most, cycle, few).drop("source_size", "target")
+    dropped(sized)
+    taken = _decided(docs, rates, name).filter("_copies > 0")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "copy"]
+    return taken.select(*kept, F.posexplode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("copy", "_")).withColumn("copy", F.col("copy") + 1).drop("_")
 
 
 SQL = r"""

@@ -39,4 +39,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    return mixing.mix_sources(docs)
+    """The documents of the mix, a row a copy with its number in ``copy``."""
+    return mixing.emit_mix(docs)

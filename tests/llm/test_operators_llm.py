@@ -155,6 +155,21 @@ def test_mixing(spark, odd, none):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_mix_is_made(spark, odd, none):
+    rows = [(i, f"w{i} " * (1 + i % 9), "en", "abcd"[min(3, i % 7)], i) for i in range(60)] + [(60, None, "en", "a", 0), (61, "x", "en", None, 1)]
+    for docs in (odd, spark.createDataFrame(rows, DOCS).withColumn("copy", F.lit("clash"))):
+        columns = [c for c in docs.columns if c != "copy"]
+        copies = {(r["doc_id"], r["source"]): r["copies"] for r in mixing.mix_sources(docs).collect()}
+        want = Counter()
+        for r in docs.select(columns).collect():
+            want.update({(str(r), k + 1): 1 for k in range(copies[r["doc_id"], r["source"]])})
+        mixed = stages.mix(docs)
+        assert mixed.columns == [*columns, "copy"]
+        assert Counter((str(r["x"]), r["copy"]) for r in mixed.select(F.struct(*columns).alias("x"), "copy").collect()) == want
+    assert 0 in copies.values() and max(copies.values()) > 1
+    assert stages.mix(none).count() == 0
+
+
 @given(st.lists(st.integers(0, 50), min_size=1, max_size=6))
 @settings(max_examples=10, deadline=None)
 def test_targets_by_resharing(spark, sizes):

@@ -4,7 +4,7 @@ import brute
 import corpus_pipeline
 import duckdb
 
-from oreweave.llm import decontaminate
+from oreweave.llm import decontaminate, mixing
 from oreweave.llm.common import stored
 
 
@@ -33,3 +33,13 @@ def test_stages_one_by_one(spark, sf_dir):
     whole = corpus_pipeline.run(spark, sf_dir)
     assert Counter(map(str, whole.collect())) == Counter(map(str, last))
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.5 * sizes[0]
+
+
+def test_last_stage_takes_effect(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix_sources(docs).collect()}
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert Counter(r["doc_id"] for r in rows) == Counter(copies) - Counter()
+    assert 0 in copies.values() and max(copies.values()) > 1
+    assert all(r["text"] == text[r["doc_id"]] for r in rows)
