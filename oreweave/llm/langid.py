@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod3
 from .packed import Packed, slices
-from .subword import Adam, distinct_words, ngrams, segment_sums
+from .subword import Adam, all_words, distinct_words, ngrams, segment_sums
 
 SIZES = (1, 2, 3, 4)
 #: Words of a text worked on in step; longer texts are that many blocks.
@@ -126,26 +126,24 @@ def train(texts: list[str], languages: list[str], bits: int = 16, epochs: int =
     k = len(names)
     if not k:
         return Field([], bits, np.zeros((1 << bits, 0)), np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros(0), np.zeros((0, 0)))
-    _, _, p = next(slices(pa.array(texts, pa.large_string()), limit=1 << 62, lower=True))
-    words, which, hashes = distinct_words(p)
-    feats, owner = ngrams(p, words, SIZES, bits)
-    root = 1 / np.sqrt(np.maximum(1, np.bincount(owner, minlength=len(words))))[owner]
-    label = np.asarray([names.index(x) for x in languages])[p.doc]
-    times = np.stack([np.bincount(which[label == y], minlength=len(words)) for y in range(k)])
+    hashes, which, doc, n_words, feats, owner = all_words(pa.array(texts, pa.large_string()), SIZES, bits)
+    root = 1 / np.sqrt(np.maximum(1, np.bincount(owner, minlength=len(hashes))))[owner]
+    label = np.asarray([names.index(x) for x in languages])[doc]
+    times = np.stack([np.bincount(which[label == y], minlength=len(hashes)) for y in range(k)])
     listed = np.unique(np.concatenate([np.argsort(-times[y], kind="stable")[: min(lexicon, int((times[y] > 1).sum()))] for y in range(k)]))
-    slot = np.full(len(words), len(listed))
+    slot = np.full(len(hashes), len(listed))
     slot[listed] = np.arange(len(listed))
     # pieces of texts, of a geometric number of words, in random order, cut anew into sequences of equal length
     rng = np.random.default_rng(seed)
     n = len(which)
-    cut = np.union1d(np.flatnonzero(rng.random(n) < 1 / piece), p.first[:-1][p.n_words > 0])
+    cut = np.union1d(np.flatnonzero(rng.random(n) < 1 / piece), (np.cumsum(n_words) - n_words)[n_words > 0])
     pieces = np.split(np.arange(n), cut[cut > 0])
     order = np.concatenate([pieces[i] for i in rng.permutation(len(pieces))] or [np.zeros(0, int)])
     rows = max(1, len(order) // span)
     span = min(span, len(order)) or 1
     seq = order[: rows * span].reshape(rows, span)
     x, y = which[seq], label[seq]
-    gold = np.zeros((len(words), k))
+    gold = np.zeros((len(hashes), k))
     np.add.at(gold, (x.ravel(), y.ravel()), 1)
     gold_moves = np.zeros((k, k))
     np.add.at(gold_moves, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
@@ -153,7 +151,7 @@ def train(texts: list[str], languages: list[str], bits: int = 16, epochs: int =
     w, lex, start, moves = np.zeros((1 << bits, k)), np.zeros((len(listed) + 1, k)), np.zeros(k), np.zeros((k, k))
     adam, total = Adam([w.shape, lex.shape, start.shape, moves.shape], rate), float(seq.size)
     for _ in range(epochs):
-        s = segment_sums(w[feats] * root[:, None], owner, len(words)) + lex[slot]
+        s = segment_sums(w[feats] * root[:, None], owner, len(hashes)) + lex[slot]
         emit = np.exp(s - s.max(axis=1, keepdims=True))[x]
         step, a = np.exp(moves), np.empty((span, rows, k))
         state = np.exp(start) * emit[:, 0]
@@ -170,7 +168,7 @@ def train(texts: list[str], languages: list[str], bits: int = 16, epochs: int =
                 expect += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
                 b = out @ step.T
                 b /= b.sum(axis=1, keepdims=True)
-        g = (segment_sums(seen.reshape(-1, k), x.ravel(), len(words)) - gold) / total
+        g = (segment_sums(seen.reshape(-1, k), x.ravel(), len(hashes)) - gold) / total
         dlex = segment_sums(g, slot, len(listed) + 1)
         dlex[-1] = 0
         adam.step([w, lex, start, moves], [segment_sums(g[owner] * root[:, None], feats, 1 << bits) + decay * w, dlex + decay * lex, (seen[:, 0].sum(axis=0) - gold_start) / total, (expect - gold_moves) / total])
@@ -178,7 +176,7 @@ def train(texts: list[str], languages: list[str], bits: int = 16, epochs: int =
     return Field(names, bits, w, hashes[listed][rank], lex[:-1][rank], start, moves)
 
 
-def sample(docs: DataFrame, most: int = 100, languages: int = 64) -> tuple[list[str], list[str]]:
+def sample(docs: DataFrame, most: int = 150, languages: int = 64) -> tuple[list[str], list[str]]:
     """Texts and languages of at most ``most`` rows of each of the ``languages`` most frequent languages, by a hash of the id."""
     open_ = docs.select("doc_id", F.col("lang").cast("string").alias("lang")).filter("lang is not null").filter(crc_mod3(F.col("doc_id")) != 1)
     names = [r[0] for r in open_.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
@@ -189,7 +187,7 @@ def sample(docs: DataFrame, most: int = 100, languages: int = 64) -> tuple[list[
     return [r["text"] for r in rows], [r["_lang"] for r in rows]
 
 
-def identify(docs: DataFrame, most: int = 100) -> DataFrame:
+def identify(docs: DataFrame, most: int = 150) -> DataFrame:
     """``doc_id, text, lang`` to ``doc_id, held_out, lang_pred, score``; every other column of ``docs`` but these follows."""
     field = docs.sparkSession.sparkContext.broadcast(train(*sample(docs, most)))
     extra = [f for f in docs.schema.fields if f.name not in ("doc_id", "text", "held_out", "lang_pred", "score", "_letters")]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
-from .packed import _BYTE, Packed, Rolling
+from .packed import _BYTE, Packed, Rolling, slices
 
 U = np.uint64
 
@@ -40,6 +41,33 @@ def ngrams(p: Packed, words: np.ndarray, sizes: tuple[int, ...], bits: int) -> t
     return np.concatenate(feats)[order], owner[order]
 
 
+def all_words(column: pa.Array, sizes: tuple[int, ...], bits: int) -> tuple[np.ndarray, ...]:
+    """Sorted hashes of the distinct words of a column, which of them each word is, each word's text, words a text, and n-grams with the distinct word they belong to.
+
+    Texts are gone through in slices, so that byte-wise arrays stay small beside the texts themselves.
+    """
+    hashes, docs, totals = [], [], []
+    for i, _, p in slices(column, lower=True):
+        hashes.append(p.word_hashes())
+        docs.append(i + p.doc)
+        totals.append(p.n_words)
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    vocabulary, which = np.unique(np.concatenate(hashes), return_inverse=True)
+    feats, owner, todo = [], [], np.ones(len(vocabulary), bool)
+    for _, _, p in slices(column, lower=True):
+        first, _, own = distinct_words(p)
+        at = np.searchsorted(vocabulary, own)
+        new = todo[at]
+        todo[at[new]] = False
+        f, o = ngrams(p, first[new], sizes, bits)
+        feats.append(f)
+        owner.append(at[new].astype(np.int32)[o])
+    owner = np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return vocabulary, which, np.concatenate(docs), np.concatenate(totals), np.concatenate(feats)[order], owner[order]
+
+
 def segment_sums(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """Sums of rows of ``values`` by ``owner``."""
     if values.ndim == 1:

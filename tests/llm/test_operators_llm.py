@@ -342,6 +342,29 @@ def test_code_switching():
     assert post.argmax(axis=1).tolist() == [0] * 30 + [1] * 10
 
 
+def test_training_goes_slice_by_slice(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(words(rng, rng.randrange(0, 40))) for _ in range(30)]
+    whole = langid.train(texts, ["aa", "bb", "cc"] * 10, bits=10, epochs=3)
+    seen, init = [], packed.Packed.__init__
+
+    def noted(self, data, *args, **more):
+        seen.append(len(data))
+        init(self, data, *args, **more)
+
+    monkeypatch.setattr(packed.Packed, "__init__", noted)
+    monkeypatch.setattr(packed.slices, "__defaults__", (400, False))
+    parts = langid.train(texts, ["aa", "bb", "cc"] * 10, bits=10, epochs=3)
+    assert max(seen) <= 400
+    assert np.allclose(whole.weights, parts.weights) and np.array_equal(whole.lexicon, parts.lexicon) and np.allclose(whole.moves, parts.moves)
+
+
+def test_sizes_of_samples(spark):
+    docs = spark.range(12000).selectExpr("id as doc_id", "concat('text ', id) as text", "if(id % 2 = 0, 'aa', 'bb') as lang")
+    assert Counter(toxicity.sample(docs, docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as toxic"))[1]) == {1: 1500, 0: 3000}
+    assert Counter(langid.sample(docs)[1]) == {"aa": 150, "bb": 150}
+
+
 def test_learned_operators_on_odd_tables(spark, odd, none):
     got = {r["doc_id"]: r for r in langid.identify(odd).collect()}
     assert got[4]["lang_pred"] == got[5]["lang_pred"] == got[6]["lang_pred"] == got[10]["lang_pred"] == "und" and got[4]["score"] == 0
