@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod3
-from .packed import Packed, slices
+from .common import crc_mod3, text_hash
+from .packed import SLICE, Packed, slices
 from .subword import Adam, all_words, distinct_words, ngrams, segment_sums
 
 SIZES = (1, 2, 3, 4)
@@ -164,8 +164,7 @@ def train(texts: list[str], languages: list[str], bits: int = 16, epochs: int =
             seen[:, t] = both / both.sum(axis=1, keepdims=True)
             if t:
                 out = b * emit[:, t]
-                pair = a[t - 1][:, :, None] * step * out[:, None, :]
-                expect += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+                expect += step * (a[t - 1].T @ (out / ((a[t - 1] @ step) * out).sum(axis=1, keepdims=True)))
                 b = out @ step.T
                 b /= b.sum(axis=1, keepdims=True)
         g = (segment_sums(seen.reshape(-1, k), x.ravel(), len(hashes)) - gold) / total
@@ -176,14 +175,17 @@ def train(texts: list[str], languages: list[str], bits: int = 16, epochs: int =
     return Field(names, bits, w, hashes[listed][rank], lex[:-1][rank], start, moves)
 
 
-def sample(docs: DataFrame, most: int = 150, languages: int = 64) -> tuple[list[str], list[str]]:
-    """Texts and languages of at most ``most`` rows of each of the ``languages`` most frequent languages, by a hash of the id."""
-    open_ = docs.select("doc_id", F.col("lang").cast("string").alias("lang")).filter("lang is not null").filter(crc_mod3(F.col("doc_id")) != 1)
-    names = [r[0] for r in open_.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    ranked = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = open_.filter(F.col("lang").isin(names)).withColumn("_n", ranked).filter(F.col("_n") <= most).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))).filter("text is not null").select("doc_id", "_lang", "text").limit(4 * most * max(1, len(names))).collect()
-    rows.sort(key=lambda r: (str(r["doc_id"]), r["text"]))
+def sample(docs: DataFrame, most: int = 150, total: int = 9600) -> tuple[list[str], list[str]]:
+    """Texts and languages of at most ``most`` different (id, text) of every language, by a hash of the id; fewer of each, but one at least, where all would be over ``total``."""
+    keys = [F.col("doc_id").alias("_id"), F.col("lang").cast("string").alias("_lang"), text_hash(F.col("text")).alias("_t")]
+    open_ = docs.filter("text is not null and lang is not null").filter(crc_mod3(F.col("doc_id")) != 1)
+    each = max(1, min(most, total // max(1, open_.select(keys[1]).distinct().count())))
+    ranked = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id", "_t"))
+    picked = open_.select(*keys).distinct().withColumn("_n", ranked).filter(F.col("_n") <= each).drop("_n")
+    same = F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._lang") == F.col("b._lang")) & (F.col("a._t") == F.col("b._t"))
+    found = open_.select(*keys, "text").alias("a").join(F.broadcast(picked).alias("b"), same, "left_semi")
+    rows = found.groupBy("_id", "_lang", "_t").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (str(r["_id"]), r["text"], r["_lang"]))
     return [r["text"] for r in rows], [r["_lang"] for r in rows]
 
 
@@ -199,7 +201,9 @@ def identify(docs: DataFrame, most: int = 150) -> DataFrame:
             n = b.num_rows
             best, score = np.full(n, len(f.languages)), np.zeros(n)
             if f.languages:
-                for i, j, p in slices(b.column("text"), lower=True):
+                # a block holds a square of the languages: the more of them, the smaller the slices
+                limit = SLICE * 64**2 // max(64, len(f.languages)) ** 2
+                for i, j, p in slices(b.column("text"), limit=limit, lower=True):
                     if len(p.doc):
                         shares = f.shares(p)
                         best[i:j], score[i:j] = shares.argmax(axis=1), shares.max(axis=1)

@@ -365,6 +365,25 @@ def test_sizes_of_samples(spark):
     assert Counter(langid.sample(docs)[1]) == {"aa": 150, "bb": 150}
 
 
+def test_every_language_is_learned(spark):
+    rng, rows = random.Random(3), []
+    pools = {f"l{k:02}": ["".join(rng.choice("abcdefghiklmnoprstuvz") for _ in range(6)) for _ in range(30)] for k in range(70)}
+    for k, (lang, pool) in enumerate(pools.items()):
+        rows += [(10 * k + i, " ".join(rng.choices(pool, k=25)), lang, "s", 1) for i in range(5 + (k < 64))]
+    docs = spark.createDataFrame(rows, DOCS)
+    open_ = {r[2] for r in docs.filter("crc32(cast(doc_id as string)) % 3 <> 1").collect()}
+    assert len(open_) > 64 and set(langid.sample(docs)[1]) == open_ == set(langid.sample(docs, total=10)[1])
+    assert max(Counter(langid.sample(docs, total=2 * len(open_))[1]).values()) == 2
+    got = langid.identify(docs).filter("lang_pred = lang").select("lang").distinct().count()
+    assert got >= len(open_) - 2
+
+
+def test_repeated_rows_leave_other_languages(spark):
+    rows = [(None, "the same text", "aa", "s", 1)] * 3000 + [(7, "the same text", "aa", "s", 1)] * 3000 + [(8, None, "bb", "s", 1)] * 200 + [(9, "some other words", "bb", "s", 1), (9, "and more words", "bb", "s", 1)]
+    texts, names = langid.sample(spark.createDataFrame(rows, DOCS))
+    assert Counter(zip(names, texts)) == {("aa", "the same text"): 2, ("bb", "some other words"): 1, ("bb", "and more words"): 1}
+
+
 def test_learned_operators_on_odd_tables(spark, odd, none):
     got = {r["doc_id"]: r for r in langid.identify(odd).collect()}
     assert got[4]["lang_pred"] == got[5]["lang_pred"] == got[6]["lang_pred"] == got[10]["lang_pred"] == "und" and got[4]["score"] == 0
