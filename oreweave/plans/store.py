@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; one of our own only where that is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session; one of our own only where that is unset and all runs in one process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = now.get() if now.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="oreweave-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
