@@ -1,14 +1,17 @@
 """Operator 6, benchmark decontamination. DataFrame operations only.
 
 A window has as many words as a benchmark item (a shorter document is one window). Words have A-Z lowered; a shingle
-is five words, or all words of a shorter item. Windows worth a look are those that hold enough shingles of some
-item to be able to reach the similarity; this bound is exact. Each gets a 64-bit SimHash of its shingles, and meets
-the items of its length in a multi-index: ``radius + 1`` blocks of bits, of which two fingerprints within the radius
-must agree in one. Pairs within the radius are verified by weighted-shingle similarity, the sum of the smaller
-over the sum of the larger counts of each shingle.
-
-Edge cases. Null, empty and wordless texts and items match nothing. Rows that repeat an id and a text
-are reported once. Equal items are each reported. Empty tables give an empty result. Further columns are not looked at.
+is five words, or all words of a shorter item. A window can reach the similarity only if it holds ``need`` shingles of an item,
+so among any ``n - need + 1`` of the item's it holds one; the rarest in the documents are taken as the item's anchors.
+One scan finds the places of all items' shingles, documents with an anchor of an item are its candidates, and
+their places give the window starts that can reach ``need``. These bounds are exact. Each such window
+gets a 64-bit SimHash of all its shingles and is held against the item's fingerprint by blocks: two fingerprints within
+the radius agree in one of ``radius + 1`` blocks of bits at least. Pairs within the radius are verified by weighted-shingle
+similarity, the sum of the smaller over the sum of the larger counts of each shingle.
+
+Edge cases. Null, empty and wordless texts and items match nothing. Texts of any length are searched whole. Rows that repeat an id
+and a text are reported once. Equal items, and items that tie, are each reported. Empty tables give an empty result. Columns
+but ``doc_id``, ``item_id`` and ``text`` are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -61,50 +64,60 @@ def similarity(a: Column, b: Column) -> Column:
     return let(both, lambda n: n / (F.size(a) + F.size(b) - n))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, k: int = 5, radius: int = 24, few: int = 1_000_000) -> DataFrame:
-    """``doc_id, text`` and ``item_id, text`` to ``doc_id, item_id, similarity``, one row for each pair that reaches
-    ``least`` in some window, with its best similarity.
+def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, k: int = 5, radius: int = 24, few: int = 1_000_000) -> DataFrame:
+    """``doc_id, text`` and ``item_id, text`` to ``doc_id, t, item_id, similarity`` (``t``: hash of the text), one row for each pair
+    that reaches ``least`` in some window, with its best similarity.
 
-    A fingerprint differs from its item's in about 11 bits at a similarity of 0.75, and in 24 or more hardly
-    ever. The benchmark's shingles are broadcast only if at most ``few`` rows of three numbers, its index and the candidate
-    windows, whose rows hold arrays, only if a tenth of that.
+    A fingerprint differs from its item's in about 11 bits of 64 at a similarity of 0.75, and in more than 24 hardly
+    ever. What is broadcast has at most ``few`` rows and the bytes that :func:`common.small` allows.
     """
-    cuts = blocks(radius)
     n_words = F.size(words_of(F.col("text")))
     items = benchmark.select("item_id", "text", n_words.alias("size")).filter("size > 0").withColumn("k", F.least(F.lit(k), F.col("size")))
     hashed = reduce(lambda a, j: F.when(F.col("k") == j, shingles(F.col("text"), j)).otherwise(a), range(1, k + 1), F.lit(None).cast("array<bigint>"))
     items = items.select("item_id", "size", "k", hashed.alias("ih"))
-    items = stored(items.withColumn("fp", simhash(F.col("ih"))).withColumn("need", F.ceil(F.size("ih") * least).cast("int")), "benchmark")
+    items = stored(items.withColumn("fp", simhash(F.col("ih"))).withColumn("need", F.ceil(F.size("ih") * least).cast("int")).withColumn("i", F.xxhash64("item_id", "ih")).dropDuplicates(["item_id", "ih"]), "benchmark")
     kinds = sorted(r[0] for r in items.select("k").distinct().collect())  # k numbers at most
     if not kinds:
         none = F.lit(None).cast(benchmark.schema["item_id"].dataType)
-        return docs.select("doc_id", none.alias("item_id"), F.lit(0.0).alias("similarity")).filter("false")
-    wanted = small(stored(items.select("item_id", "size", F.col("k").alias("ik"), "need", F.size("ih").alias("runs"), F.explode(F.array_distinct("ih")).alias("sh")), "benchmark-shingles"), few)
+        return docs.select("doc_id", text_hash(F.col("text")).alias("t"), none.alias("item_id"), F.lit(0.0).alias("similarity")).filter("false")
+    # places of any item's shingles: one scan, no row more than there are words
     keyed = docs.select("doc_id", "text", text_hash(F.col("text")).alias("t"))
+    parts = stored(items.select("i", "k", "need", F.size("ih").alias("runs"), F.explode(F.array_distinct("ih")).alias("sh")), "benchmark-shingles")
+    known = small(stored(parts.select(F.col("k").alias("ik"), "sh").distinct(), "benchmark-known"), few)
     at = reduce(DataFrame.unionByName, [keyed.select("doc_id", "t", F.lit(j).alias("k"), F.posexplode(shingles(F.col("text"), j)).alias("p", "h")) for j in kinds])
-    met = at.join(wanted, (F.col("h") == F.col("sh")) & (F.col("k") == F.col("ik")))
+    places = stored(at.join(known, (F.col("h") == F.col("sh")) & (F.col("k") == F.col("ik"))).select("doc_id", "t", "k", "p", "sh"), "places")
+    # anchors: of n different shingles the n - need' + 1 rarest, need' being what different ones must at least be met
+    rare = parts.join(places.groupBy("k", "sh").agg(F.count("*").alias("df")), ["k", "sh"], "left")
+    ranked = rare.groupBy("i", "k", "need", "runs").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "sh"))).alias("all"))
+    spare = F.col("runs") - F.col("need") + 1  # a window that meets none of so many runs, repeats of a shingle counted one by one, falls short
+    anchors = small(stored(ranked.select("i", "k", F.explode(F.slice("all", F.lit(1), F.least(spare, F.size("all")))).alias("a")).filter("a.df > 0").select("i", "k", F.col("a.sh").alias("sh")), "anchors"), few)
+    pairs = places.join(anchors, ["k", "sh"]).select("doc_id", "t", "i", "k").distinct()
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.t") == F.col(f"{b}.t")) & (F.col(f"{a}.k") == F.col(f"{b}.k"))
+    met = pairs.alias("x").join(places.alias("y"), same("x", "y")).select("x.doc_id", "x.t", "x.i", "x.k", "y.p", "y.sh")
+    met = met.join(small(parts, few), ["i", "k", "sh"])
     # places of an item's shingles in a document, in order; any ``need`` of them in a row that lie within one window make its starts candidates
-    placed = met.groupBy("doc_id", "t", "item_id", "size", "k", "need", "runs").agg(F.sort_array(F.collect_set("p")).alias("ps")).filter(F.size("ps") > 0)
-    last = lambda i: F.get("ps", i + F.col("need") - 1)
-    starts = F.flatten(F.transform("ps", lambda p, i: F.when(last(i) - p < F.col("runs"), F.sequence(F.greatest(F.lit(0), last(i) - F.col("runs") + 1), p)).otherwise(F.array().cast("array<int>"))))
-    windows = placed.select("doc_id", "t", "size", "k", F.explode(F.array_distinct(starts)).alias("s")).distinct()
-    found = windows.groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_set(F.struct("size", "k", "s")).alias("windows"))
-    found = small(stored(found, "windows"), few // 10)
-    looked = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).dropDuplicates(["doc_id", "t"])
-    parts = []
-    for j in kinds:
-        own = looked.select("doc_id", shingles(F.col("text"), j).alias("g"), F.filter("windows", lambda w: w["k"] == j).alias("ws")).filter(F.size("ws") > 0)
-        cut = own.select("doc_id", F.explode(F.transform("ws", lambda w: F.struct(w["size"].alias("size"), F.slice(F.col("g"), F.greatest(F.lit(1), F.least(w["s"] + 1, F.size("g") - (w["size"] - j))), w["size"] - j + 1).alias("wh")))).alias("w"))
-        parts.append(cut.select("doc_id", F.col("w.size").alias("ws"), "w.wh"))
-    cut = reduce(DataFrame.unionByName, parts).withColumn("wfp", simhash(F.col("wh")))
-    tagged = lambda fp: F.array(*[F.struct(F.lit(n).alias("b"), _block(fp, *c).alias("v")) for n, c in enumerate(cuts)])
-    index = items.select("item_id", "size", "ih", "fp", F.explode(tagged(F.col("fp"))).alias("i")).select("item_id", "size", "ih", "fp", F.col("i.b").alias("ib"), F.col("i.v").alias("iv"))
-    index = small(stored(index, "benchmark-index"), few // 10)
-    near = cut.withColumn("x", F.explode(tagged(F.col("wfp")))).join(index, (F.col("ws") == F.col("size")) & (F.col("x.b") == F.col("ib")) & (F.col("x.v") == F.col("iv")))
+    placed = met.groupBy("doc_id", "t", "i", "k", "need", "runs").agg(F.sort_array(F.collect_set("p")).alias("ps")).filter(F.size("ps") >= F.col("need"))
+    last = lambda n: F.get("ps", n + F.col("need") - 1)
+    starts = F.flatten(F.transform("ps", lambda p, n: F.when(last(n) - p < F.col("runs"), F.sequence(F.greatest(F.lit(0), last(n) - F.col("runs") + 1), p)).otherwise(F.array().cast("array<int>"))))
+    found = placed.select("doc_id", "t", F.struct("i", "k", "runs", F.array_distinct(starts).alias("starts")).alias("w")).filter(F.size("w.starts") > 0)
+    found = found.groupBy(F.col("doc_id").alias("in_id"), F.col("t").alias("in_t")).agg(F.collect_list("w").alias("windows"))
+    flat = stored(found.select("in_id", "in_t", F.explode("windows").alias("w")).select("in_id", "in_t", "w.*"), "windows")
+    looked = keyed.join(small(flat.select("in_id", "in_t").distinct(), few), F.col("doc_id").eqNullSafe(F.col("in_id")) & (F.col("t") == F.col("in_t")), "left_semi").dropDuplicates(["doc_id", "t"])
+    grams = reduce(DataFrame.unionByName, [looked.select("doc_id", "t", F.lit(j).alias("k"), shingles(F.col("text"), j).alias("g")) for j in kinds])
+    own = grams.alias("x").join(flat.alias("y"), F.col("x.doc_id").eqNullSafe(F.col("y.in_id")) & (F.col("x.t") == F.col("y.in_t")) & (F.col("x.k") == F.col("y.k")))
+    first = lambda s: F.greatest(F.lit(1), F.least(s + 1, F.size("g") - F.col("runs") + 1))
+    held = F.transform(F.array_distinct(F.transform("starts", first)), lambda s: F.struct(F.slice(F.col("g"), s, F.col("runs")).alias("wh")))
+    cuts = own.select("doc_id", "t", "i", F.explode(held).alias("w")).select("doc_id", "t", "i", "w.wh").withColumn("wfp", simhash(F.col("wh")))
+    near = cuts.join(small(items.select("i", "item_id", "ih", "fp"), few), "i")
     apart = F.col("wfp").bitwiseXOR(F.col("fp"))
-    first = F.array_position(F.array(*[_block(apart, *c) == 0 for c in cuts]), True) - 1  # each pair counts in the first block it agrees in
-    near = near.filter((F.bit_count(apart) <= radius) & (first == F.col("x.b")))
-    return near.select("doc_id", "item_id", similarity(F.col("wh"), F.col("ih")).alias("similarity")).filter(F.col("similarity") >= least).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+    agree = reduce(lambda a, b: a | b, [_block(apart, *c) == 0 for c in blocks(radius)])
+    near = near.filter(agree & (F.bit_count(apart) <= radius))
+    return near.select("doc_id", "t", "item_id", similarity(F.col("wh"), F.col("ih")).alias("similarity")).filter(F.col("similarity") >= least).groupBy("doc_id", "t", "item_id").agg(F.max("similarity").alias("similarity"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, k: int = 5, radius: int = 24, few: int = 1_000_000) -> DataFrame:
+    """:func:`matches` as ``doc_id, item_id, similarity``: of several texts with one id the best counts."""
+    return matches(docs, benchmark, least, k, radius, few).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
 SQL_PARTS = r"""

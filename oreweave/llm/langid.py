@@ -6,9 +6,10 @@ learned by maximum likelihood on sequences spliced from pieces of texts in diffe
 transitions learn code switching. Forward-backward gives each word's distribution; a text is labelled with
 the language of the largest share of its words.
 
-Edge cases. A text that is null or has no letter is ``und`` with score 0. Rows with no language or whose id has
-crc32 mod 3 = 1 are never learned from. Language, source and id are no inputs of a prediction. Without anything to learn
-from every text is ``und``. Repeated rows are labelled alike. An empty table gives an empty result.
+Edge cases. A text that is null or has no letter is ``und`` with score 0; texts of any length are labelled whole. Rows with
+no language or whose id has crc32 mod 3 = 1 are never learned from. Language, source and id are no inputs of a prediction.
+Languages with equal shares: the first by name. Without anything to learn from every text is ``und``. Repeated rows are labelled
+alike. An empty table gives an empty result. Columns of the names of results, and ``_letters``, give way to them; all others are carried.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod3, text_hash
+from .common import crc_mod3, text_hash, within
 from .packed import SLICE, Packed, slices
 from .subword import Adam, all_words, distinct_words, ngrams, segment_sums
 
@@ -175,18 +176,26 @@ def train(texts: list[str], languages: list[str], bits: int = 16, epochs: int =
     return Field(names, bits, w, hashes[listed][rank], lex[:-1][rank], start, moves)
 
 
-def sample(docs: DataFrame, most: int = 150, total: int = 9600) -> tuple[list[str], list[str]]:
-    """Texts and languages of at most ``most`` different (id, text) of every language, by a hash of the id; fewer of each, but one at least, where all would be over ``total``."""
-    keys = [F.col("doc_id").alias("_id"), F.col("lang").cast("string").alias("_lang"), text_hash(F.col("text")).alias("_t")]
-    open_ = docs.filter("text is not null and lang is not null").filter(crc_mod3(F.col("doc_id")) != 1)
-    each = max(1, min(most, total // max(1, open_.select(keys[1]).distinct().count())))
-    ranked = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id", "_t"))
-    picked = open_.select(*keys).distinct().withColumn("_n", ranked).filter(F.col("_n") <= each).drop("_n")
-    same = F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._lang") == F.col("b._lang")) & (F.col("a._t") == F.col("b._t"))
-    found = open_.select(*keys, "text").alias("a").join(F.broadcast(picked).alias("b"), same, "left_semi")
-    rows = found.groupBy("_id", "_lang", "_t").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: (str(r["_id"]), r["text"], r["_lang"]))
-    return [r["text"] for r in rows], [r["_lang"] for r in rows]
+def sample(docs: DataFrame, most: int = 150, total: int = 9600, most_bytes: int = 64_000_000) -> tuple[list[str], list[str]]:
+    """Texts and languages of at most ``most`` different (id, text) of every language, lowest hash of the id first; fewer of each, but one at least, where all would be over ``total``.
+
+    Each language has an equal part of ``most_bytes``; rows that would go over it are passed over, but its shortest is always taken.
+    """
+    keys = [F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("name"), text_hash(F.col("text")).alias("t")]
+    open_ = docs.filter("text is not null and lang is not null").filter(crc_mod3(F.col("doc_id")) != 1).select("text", *keys)
+    each = max(1, min(most, total // max(1, open_.select("name").distinct().count())))
+    ranked = F.row_number().over(Window.partitionBy("name").orderBy(F.xxhash64("id"), "id", "t"))
+    picked = open_.select("id", "name", "t", F.octet_length("text").alias("size")).distinct().withColumn("n", ranked).filter(F.col("n") <= each)
+    by_name: dict[str, list] = {}
+    for r in sorted(picked.collect(), key=lambda r: r["n"]):
+        by_name.setdefault(r["name"], []).append(r)
+    taken = [r for rows in by_name.values() for r in within(rows, most_bytes // len(by_name))]
+    wanted = docs.sparkSession.createDataFrame([(r["id"], r["name"], r["t"]) for r in taken], picked.select("id", "name", "t").schema)
+    same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.name") == F.col("b.name")) & (F.col("a.t") == F.col("b.t"))
+    found = open_.alias("a").join(F.broadcast(wanted).alias("b"), same, "left_semi")
+    rows = found.groupBy("id", "name", "t").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (str(r["id"]), r["text"], r["name"]))
+    return [r["text"] for r in rows], [r["name"] for r in rows]
 
 
 def identify(docs: DataFrame, most: int = 150) -> DataFrame:

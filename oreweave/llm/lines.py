@@ -7,8 +7,9 @@ then earliest line) and goes everywhere else.
 
 Edge cases. A null text has no lines and stays null. Lines of fewer than ``min_words`` words are never counted
 or taken out. A null site counts as one site of its own. Rows that repeat an id and a text share their
-decisions. A document that loses all its words is ``emptied``. An empty table gives an empty result; further
-columns are carried untouched.
+decisions; of rows that tie for a line's first place, those of the text with the smallest hash keep it. A document that
+loses all its words is ``emptied``. Texts of any length are read whole, a row at a time. An empty table gives an
+empty result. Columns named as the three results give way to them; all others are carried untouched.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, small, stored, text_hash
+from .common import let, rest_of, small, stored, text_hash
 
 _SPACES = r"[\x20\x09-\x0D]+"
 #: log2 of the registers of a sketch; its relative standard error is about 1.04 / sqrt(registers), here 3 %.
@@ -54,25 +55,27 @@ def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, min
 
 
 def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, min_words: int = 3, few: int = 200_000) -> DataFrame:
-    """Every row of ``docs`` with its ``text`` cut, and ``n_lines``, ``n_removed``, ``emptied``.
+    """Every row of ``docs`` with its ``text`` cut, and ``n_lines``, ``n_removed``, ``emptied``, which replace columns of these names.
 
     The boilerplate lines are broadcast only if at most ``few``. What comes back from that join is one short row a
     document that loses lines.
     """
     common = spread_lines(docs, site, min_sites, min_words).select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "first_id", "first_t", "first_at")
     common = small(stored(common, "boilerplate"), few)
-    keyed = docs.withColumn("_t", text_hash(F.col("text")))
-    at = keyed.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_tt"), F.explode(F.filter(_hashed(F.col("text"), min_words), lambda x: x["h1"].isNotNull())).alias("x"))
+    keyed = docs.select("doc_id", "text", text_hash(F.col("text")).alias("t"), rest_of(docs, "text").alias("rest"))
+    at = keyed.select(F.col("doc_id").alias("in_id"), F.col("t").alias("in_t"), F.explode(F.filter(_hashed(F.col("text"), min_words), lambda x: x["h1"].isNotNull())).alias("x"))
     hit = at.join(common, (F.col("x.h1") == F.col("c1")) & (F.col("x.h2") == F.col("c2")))
-    hit = hit.filter(~(F.col("_id").eqNullSafe(F.col("first_id")) & (F.col("_tt") == F.col("first_t")) & (F.col("x.at") == F.col("first_at"))))
-    gone = hit.select("_id", "_tt", F.col("x.at").alias("at")).distinct().groupBy("_id", "_tt").agg(F.sort_array(F.collect_list("at")).alias("_gone"))
-    out = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tt")), "left")
-    kept = let(F.split("text", "\n"), lambda lines: F.array_join(F.array_compact(F.transform(lines, lambda x, i: F.when(~F.array_contains("_gone", i), x))), "\n"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    n_removed = F.coalesce(F.size("_gone"), F.lit(0))
-    out = out.select(*[F.col(c) for c in docs.columns if c != "text"], text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"))
-    return out.withColumn("emptied", (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    hit = hit.filter(~(F.col("in_id").eqNullSafe(F.col("first_id")) & (F.col("in_t") == F.col("first_t")) & (F.col("x.at") == F.col("first_at"))))
+    gone = hit.select("in_id", "in_t", F.col("x.at").alias("at")).distinct().groupBy("in_id", "in_t").agg(F.sort_array(F.collect_list("at")).alias("gone"))
+    out = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("in_id")) & (F.col("t") == F.col("in_t")), "left")
+    kept = let(F.split("text", "\n"), lambda lines: F.array_join(F.array_compact(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x))), "\n"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    made = out.select("rest", text.alias("text"), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    own = [F.col("rest").getField(c).alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed", "emptied")]
+    return made.select(*own, "text", "n_lines", "n_removed", emptied.alias("emptied"))
 
 
 SQL_PARTS = r"""

@@ -8,8 +8,10 @@ words over all its documents come nearest its target.
 :func:`mix_sources` has the decisions, a row a document; :func:`emit_mix` has the mix itself, a row a copy.
 
 Edge cases. A null text has size 0: it is copied like others of its source, but its copies add no words. A null source is
-a source of its own, last in order. A null id hashes as the empty text; rows that repeat an id share its decision. An empty
-table gives an empty result. A source of size 0 has target 0, so that none of its documents is emitted. ``emit_mix`` carries all columns untouched.
+a source of its own, last in order. A null id hashes as the empty text; rows that repeat an id share its decision. Words of texts
+of any length are counted whole. Sources whose ceilings tie stop in order of name; of seeds that come as near, the first is used. An
+empty table gives an empty result. A source of size 0 has target 0, so that none of its documents is emitted. ``mix_sources``
+looks at no further columns; ``emit_mix`` carries all, whatever their names, untouched but for one named ``copy``.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, n_words_of, small, stored
+from .common import dropped, n_words_of, rest_of, small, stored
 
 #: The hash that draws extra copies has 12 hexadecimal digits.
 _DRAWS = 1 << 48
@@ -95,9 +97,9 @@ def emit_mix(docs: DataFrame, name: str = "mix", most: int = 3, cycle: int = 3,
     sized = _sizes(docs)
     rates = _seeded(sized, name, most, cycle, few).drop("source_size", "target")
     dropped(sized)
-    taken = _decided(docs, rates, name).filter("_copies > 0")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "copy"]
-    return taken.select(*kept, F.posexplode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("copy", "_")).withColumn("copy", F.col("copy") + 1).drop("_")
+    taken = _decided(docs.select("doc_id", "source", rest_of(docs).alias("rest")), rates, name).filter("_copies > 0")
+    kept = [F.col("rest").getField(c).alias(c) for c in docs.columns if c != "copy"]
+    return taken.select(*kept, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
 
 
 SQL = r"""

@@ -1,12 +1,13 @@
 """Operator 8, quality rules. DataFrame operations only.
 
 Each text gets base measures; then each normalised line (A-Z lowered, runs of spaces as one) is counted over the
-distinct texts of its host. Lines in more texts than the limits allow are taken out, and a document that loses
+documents of its host. Lines in more documents than the limits allow are taken out, and a document that loses
 too large a share of its words that way is rejected.
 
 Edge cases. A null or wordless text has no words, zero measures and fails. A null host is a host of its own.
-Copies of a text count as one document, so that copying alone does not make its lines frequent; rows that
-repeat are judged alike. An empty table gives an empty result. Columns beside those named are not looked at.
+Documents are told apart by id and text: copies of a text under other ids count, rows that repeat both count once. Rows that
+tie or repeat are judged alike. Texts of any length are measured whole. An empty table gives an empty result. Columns beside
+those named are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,27 +61,35 @@ def measures(text: Column) -> Column:
 
 
 def rate_quality(docs: DataFrame, host: str = "source", least_docs: int = 50, most_share: float = 0.02, least_kept: float = 0.5, min_words: int = 50, most_repeated: int = 50, few: int = 1_000_000) -> DataFrame:
-    """``doc_id, text`` and a host to ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept``.
+    """``doc_id, text`` and a host to ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_gone, text, kept``:
+    ``n_gone`` words stood in lines taken out, ``text`` is what stays.
 
-    A line is taken out of a host that has it in at least ``least_docs`` distinct texts and in more than
-    ``most_share`` of its distinct texts; a document is rejected if less than ``least_kept`` of its words stay.
-    The frequent lines are broadcast only if at most ``few``.
+    A line is taken out of a host that has it in at least ``least_docs`` documents and in more than ``most_share`` of its
+    documents; a document is rejected if less than ``least_kept`` of its words stay. The frequent lines are
+    broadcast only if at most ``few``.
     """
     read = docs.select("doc_id", F.col(host).alias("host"), "text")
-    lines = F.transform(F.filter(lines_of(F.col("text")), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: let(normal_line(x), lambda y: F.struct(F.xxhash64(y).alias("line"), F.size(F.split(y, " ")).alias("words"))))
-    texts = read.select("host", text_hash(F.col("text")).alias("t"), lines.alias("lines")).filter(F.size("lines") > 0).groupBy("host", "t").agg(F.first("lines").alias("lines"))
-    texts = stored(texts, "quality-lines")
-    per_host = texts.groupBy("host").agg(F.count("*").alias("texts"))
-    found = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs)
-    common = found.alias("f").join(per_host.alias("h"), F.col("f.host").eqNullSafe(F.col("h.host"))).filter(F.col("n") > F.col("texts") * most_share)
-    common = small(stored(common.select(F.col("f.host").alias("_host"), F.col("line").alias("_line")), "quality-common"), few)
-    hit = texts.select("host", "t", F.explode("lines").alias("x"), F.aggregate(F.transform("lines", lambda x: x["words"]), F.lit(0), lambda a, x: a + x).alias("of"))
-    hit = hit.join(common, F.col("host").eqNullSafe(F.col("_host")) & (F.col("x.line") == F.col("_line")))
-    poor = hit.groupBy(F.col("host").alias("_host"), F.col("t").alias("_t"), "of").agg(F.sum("x.words").alias("gone")).filter(F.col("of") - F.col("gone") < F.col("of") * least_kept).select("_host", "_t", F.lit(True).alias("poor"))
-    base = read.select("doc_id", "host", text_hash(F.col("text")).alias("t"), measures(F.col("text")).alias("m")).select("doc_id", "host", "t", "m.*")
+    worded = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
+    line = lambda x: F.xxhash64(normal_line(x))
+    lines = F.transform(F.filter(lines_of(F.col("text")), worded), lambda x: let(normal_line(x), lambda y: F.struct(F.xxhash64(y).alias("line"), F.size(F.split(y, " ")).alias("words"))))
+    # a text's lines once, with the number of documents that have it
+    texts = read.select("host", "doc_id", text_hash(F.col("text")).alias("t"), lines.alias("lines")).filter(F.size("lines") > 0)
+    ids = texts.groupBy("host", "t", "doc_id").agg(F.lit(1).alias("one")).groupBy("host", "t").agg(F.count("*").alias("docs"))
+    texts = texts.groupBy("host", "t").agg(F.first("lines").alias("lines"))
+    texts = stored(texts.alias("x").join(ids.alias("y"), F.col("x.host").eqNullSafe(F.col("y.host")) & (F.col("x.t") == F.col("y.t"))).select("x.host", "x.t", "lines", "docs"), "quality-lines")
+    per_host = texts.groupBy("host").agg(F.sum("docs").alias("docs"))
+    found = texts.select("host", "docs", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).groupBy("host", "line").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_docs)
+    common = found.alias("f").join(per_host.alias("h"), F.col("f.host").eqNullSafe(F.col("h.host"))).filter(F.col("n") > F.col("docs") * most_share)
+    common = small(stored(common.select(F.col("f.host").alias("of_host"), F.col("line").alias("of_line")), "quality-common"), few)
+    hit = texts.select("host", "t", F.explode("lines").alias("x")).join(common, F.col("host").eqNullSafe(F.col("of_host")) & (F.col("x.line") == F.col("of_line")))
+    gone = hit.groupBy(F.col("host").alias("in_host"), F.col("t").alias("in_t")).agg(F.sum("x.words").alias("n_gone"), F.collect_set("x.line").alias("gone"))
+    base = read.select("doc_id", "host", "text", text_hash(F.col("text")).alias("t"), measures(F.col("text")).alias("m")).select("doc_id", "host", "text", "t", "m.*")
     base = base.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words")))
-    out = base.join(poor, F.col("host").eqNullSafe(F.col("_host")) & (F.col("t") == F.col("_t")), "left")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("poor").isNull()).alias("kept"))
+    out = base.join(gone, F.col("host").eqNullSafe(F.col("in_host")) & (F.col("t") == F.col("in_t")), "left").withColumn("n_gone", F.coalesce("n_gone", F.lit(0)).cast("long"))
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~(worded(x) & F.array_contains("gone", line(x)))), "\n")
+    depleted = (F.col("n_gone") > 0) & (F.col("n_words") - F.col("n_gone") < F.col("n_words") * least_kept)
+    measured = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_gone"]
+    return out.select(*measured, F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"), (~F.col("base_failed") & ~depleted).alias("kept"))
 
 
 SQL = r"""
@@ -92,9 +101,9 @@ with d as (
 ), runs as (select r, i, [w[i], w[i + 1], w[i + 2]] as g from (select r, w, unnest(range(1, len(w) - 1)) as i from d where len(w) > 2)),
 twice as (select r, i from (select r, i, count(*) over (partition by r, g) as n from runs) where n > 1),
 covered as (select r, sum(least(3, coalesce(nxt - i, 3)))::bigint as n from (select r, i, lead(i) over (partition by r order by i) as nxt from twice) group by r),
-lined as (select distinct source, text, translate(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as line
-  from (select source, text, unnest(lines) as x from d)),
-hosts as (select source, count(*) as texts from (select distinct source, text from d where len(lines) > 0) group by source),
+lined as (select distinct source, doc_id, text, translate(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as line
+  from (select source, doc_id, text, unnest(lines) as x from d)),
+hosts as (select source, count(*) as texts from (select distinct source, doc_id, text from d where len(lines) > 0) group by source),
 often as (select l.source, l.line from (select source, line, count(*) as n from lined group by all) l join hosts h on h.source is not distinct from l.source where n >= 50 and n > texts * 0.02::double),
 parts as (select r, source, translate(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as line from (select r, source, unnest(lines) as x from d)),
 gone as (select r, sum(len(string_split(p.line, ' '))) as n from parts p join often o on o.source is not distinct from p.source and o.line = p.line group by r)

@@ -43,7 +43,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.rate_quality(table(spark, sf_dir, "documents"))
+    return quality.rate_quality(table(spark, sf_dir, "documents")).drop("n_gone", "text")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,11 @@ that mean gives the score. Embeddings and softmax are trained together by Adam i
 sample of labelled rows. As the model is linear after the look-up, each n-gram's share of the logit is
 worked out once, and scoring only looks shares up.
 
-Edge cases. Null, empty and wordless texts get the score of the bias alone. Rows without a label are not
-learned from; with no label, or labels of one kind only, every score is that kind's (0 without any). Repeated rows
-are scored alike. An empty table gives an empty result. Labels, language, source and id are no inputs of a score.
+Edge cases. Null, empty and wordless texts get the score of the bias alone; texts of any length are scored whole, slice by
+slice. Rows without a label are not learned from; with no label, or labels of one kind only, every score is that kind's (0
+without any). Labels that contradict each other and ties: see :func:`sample`. Repeated rows are scored alike. An empty table
+gives an empty result. Labels, language, source and id are no inputs of a score; columns but ``doc_id``, ``text`` and
+``toxic`` are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod3, text_hash
+from .common import crc_mod3, dropped, stored, within
 from .packed import slices
 from .subword import Adam, distinct_words, ngrams, segment_sums
 
@@ -104,12 +106,28 @@ def train(texts: list[str], toxic: list[int], bits: int = 18, dim: int = 2, epoc
     return Model(bits, shares, float(bias[1] - bias[0]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = 1500) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``most`` toxic rows and twice as many others, by a hash of the id; ids with crc32 mod 3 = 1 are held out."""
-    open_ = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").filter(crc_mod3(F.col("doc_id")) != 1)
-    picked = open_.dropDuplicates(["doc_id"]).withColumn("_n", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("_n") <= 2 * most).filter(F.col("_n") <= F.when(F.col("toxic") == 1, most).otherwise(2 * most))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked.drop("_n")), "doc_id").filter("text is not null").limit(6 * most).collect()
-    rows.sort(key=lambda r: (str(r["doc_id"]), r["text"]))
+def sample(docs: DataFrame, labels: DataFrame, most: int = 1500, most_bytes: int = 64_000_000) -> tuple[list[str], list[int]]:
+    """Texts and labels of at most ``most`` toxic rows and twice as many others, lowest hash of the id first; ids with crc32 mod 3 = 1 are held out.
+
+    An id with several labels has the one that most of them are, and is not learned from if they tie; one with several texts
+    is learned from by the smallest. Each label has half of ``most_bytes``; rows that would go over it are passed
+    over, but the shortest is always taken.
+    """
+    open_ = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null").filter(crc_mod3(F.col("doc_id")) != 1)
+    voted = open_.groupBy("doc_id").agg(F.avg("toxic").alias("share")).filter("share <> 0.5").select("doc_id", (F.col("share") > 0.5).cast("int").alias("toxic"))
+    known = voted.join(docs.filter("text is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    # each limit keeps the first rows of every partition before they meet
+    first = lambda y, n: known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    picked = stored(first(1, most).unionByName(first(0, 2 * most)), "picked")
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter("text is not null")
+    texts = stored(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
+    sized = texts.select("doc_id", "toxic", F.octet_length("text").alias("size"), F.xxhash64("doc_id").alias("h")).collect()
+    taken = []
+    for y in (0, 1):
+        taken += within(sorted((r for r in sized if r["toxic"] == y), key=lambda r: (r["h"], r["doc_id"])), most_bytes // 2)
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(r["doc_id"],) for r in taken], texts.select("doc_id").schema))
+    rows = sorted(texts.join(wanted, "doc_id", "left_semi").collect(), key=lambda r: (str(r["doc_id"]), r["text"]))
+    dropped(picked), dropped(texts)
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
 
