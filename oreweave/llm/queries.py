@@ -31,7 +31,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+    cut = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

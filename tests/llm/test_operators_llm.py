@@ -1,4 +1,3 @@
-import hashlib
 import random
 import re
 from collections import Counter
@@ -110,17 +109,31 @@ def test_jaccard(spark, odd, none, limits):
     assert jaccard.near_duplicates(none, **limits).count() == 0
 
 
-@pytest.mark.parametrize("hot", [5000, 1])
+def digests(df):
+    return Counter(map(tuple, df.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()))
+
+
+@pytest.mark.parametrize("hot", [5000, 1, 0])
 def test_substrings(spark, odd, none, hot):
-    got = Counter(map(tuple, substrings.dedup_substrings(odd, hot=hot).collect()))
-    assert got == Counter(brute.substring_dedup(pairs(odd)))
+    assert digests(substrings.dedup_substrings(odd, hot=hot)) == Counter(brute.substring_dedup(pairs(odd)))
     assert substrings.dedup_substrings(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [5000, 3])
+def test_substrings_of_documents(spark, sf_dir, hot):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("t1", F.lit(1)).withColumn("marks", F.lit(2))
+    cut = substrings.dedup_substrings(docs, hot=hot)
+    assert digests(cut) == Counter(brute.substring_dedup(pairs(docs)))
+    for r in cut.filter("n_removed > 0").join(docs.select("doc_id", "text"), "doc_id").collect():
+        w = brute.WORDS.findall(r["text"])
+        gone = {i for x in r["removed"] for i in range(x["first"], x["last"])}
+        assert len(gone) == r["n_removed"] and " ".join(x for i, x in enumerate(w) if i not in gone) == r["kept"]
+
+
 def test_substrings_of_one_word(spark):
     rows = [(1, "a " * 100), (2, "b " * 35), (3, "b " * 34), (4, " ".join(f"c{i}" for i in range(50)) + " x " + " ".join(f"c{i}" for i in range(40)))]
-    got = sorted(map(tuple, substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
-    assert got == sorted(brute.substring_dedup(rows))
+    for hot in (5000, 0):
+        assert digests(substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot)) == Counter(brute.substring_dedup(rows))
 
 
 @given(st.integers(0, 10**6))
@@ -134,14 +147,27 @@ def test_segments_and_subtrees(seed):
         s = substrings.segments(p, window, prefix)
         flat = [w for t in texts for w in t.split()]
         assert s["n"].sum() == sum(seen.values())
-        for g, a, n in zip(s["gram"].tolist(), s["start"].tolist(), s["n"].tolist(), strict=True):
+        for g, a, n, u in zip(s["gram"].tolist(), s["start"].tolist(), s["n"].tolist(), s["u"].tolist(), strict=True):
             groups.setdefault(g, []).append((a, n))
+            todo = [(a, n, u, prefix)]
+            while todo:  # longer runs are in all windows of their part, and the parts are the whole
+                a, n, u, m = todo.pop()
+                assert 0 <= u and all(b <= a + u and a + u + m <= b + window for b in range(a, a + n))
+                if m < window:
+                    parts = substrings.halves(n, u, m, window)
+                    assert sorted(x for off, k, _, _ in parts for x in range(off, off + k)) == list(range(n))
+                    todo += [(a + off, k, u2 - off, m2) for off, k, u2, m2 in parts]
         for parts in groups.values():
             numbers = {}
             ids = [np.array([numbers.setdefault(w, len(numbers)) for w in flat[a : a + n - 1 + window]]) for a, n in parts]
             n = np.array([x for _, x in parts])
-            twice = substrings.subtree(np.concatenate(ids), np.concatenate(([0], np.cumsum([len(x) for x in ids]))), n, np.ones(len(n)), window)
-            assert twice.tolist() == [seen[tuple(flat[b : b + window])] > 1 for a, m in parts for b in range(a, a + m)]
+            tree = substrings.Subtree(np.concatenate(ids), np.concatenate(([0], np.cumsum([len(x) for x in ids]))), n, np.ones(len(n), int))
+            assert tree.repeats(window).tolist() == [seen[tuple(flat[b : b + window])] > 1 for a, m in parts for b in range(a, a + m)]
+            # suffixes by their common prefixes, every pair
+            ends = [(b, a + m - 1 + window) for a, m in parts for b in range(a, a + m)]
+            common = lambda x, y: next((i for i in range(min(x[1] - x[0], y[1] - y[0])) if flat[x[0] + i] != flat[y[0] + i]), min(x[1] - x[0], y[1] - y[0]))
+            want = {(d, tuple(j for j in range(len(ends)) if j == i or common(ends[i], ends[j]) >= d)) for i in range(len(ends)) for d in {common(ends[i], ends[j]) for j in range(len(ends)) if j != i} if d >= window}
+            assert {(d, tuple(x.tolist())) for d, x in tree.nodes(window)} == want
 
 
 def test_mixing(spark, odd, none):
@@ -414,4 +440,4 @@ def test_stages(spark, odd, none):
     kept = Counter(r["doc_id"] for r in stages.keep_one_of_each(odd).collect())
     least = {r[2] for r in brute.jaccard(pairs(odd)) if r[1]}
     assert {i for i in kept if i not in (4, 5, 6, None)} == least - {None} and max(kept[i] for i in least if i) == 1
-    assert hashlib.sha256(b"").hexdigest() == next(r["kept_sha256"] for r in substrings.dedup_substrings(odd).collect() if r["doc_id"] == 5)
+    assert next(r["kept"] for r in substrings.dedup_substrings(odd).collect() if r["doc_id"] == 5) == ""
