@@ -7,14 +7,22 @@ frequency and hash, the first few must meet the first few of any partner; docume
 put into one region, so no link leaves its region. (3) Inside a region pivots do the join: a document that no pivot covers
 becomes one, its distances to the region's documents are taken, and those within 0.25 are its Voronoi ball and
 linked. By the triangle inequality two balls can only link where their pivots are at most 0.75 apart, and only documents
-within 0.5 of the other pivot (the boundary window) are compared. A region of more than ``most`` documents or ``most_members``
-members is cut in parts, and each pair of parts joins in a task of its own, so that memory stays bounded.
+within 0.5 of the other pivot (the boundary window) are compared.
+
+A region of more than ``most`` documents or ``most_members`` members is joined recursively. Some of its documents become pivots, dealt to
+all its parts; a document within 0.25 of one is in the ball of the first such and linked, one within 0.5 is copied to that
+ball's window, and window and ball meet in tasks of bounded size. What no pivot covers goes on, by new pivots, then cut by
+the shared first member, then by pivots again; what is still too large is cut in parts that meet pairwise.
+
+Nothing hot meets in one task: texts with many copies are reduced to one before their sets are dealt, and members in very many texts
+are found by summaries of bounded size and not sent to a bucket, as it is already known that they are common.
 
 Texts are told apart by 64 bits of hash, set members by 40 bits and the bucket's number. Sets are compared in full.
 
 Edge cases. Null and wordless texts have an empty set and link with nothing; shorter texts than k words have their whole
-sequence as one member. Copies and rows that repeat are one class. Null ids are passed over in the minimum. An empty table gives
-an empty result. Further columns are not looked at.
+sequence as one member. Texts of any length are taken whole, one at a time. Copies and rows that repeat are one class. Null ids
+are passed over in the minimum. Similarities of just 0.75 link. An empty table gives an empty result. Columns but ``doc_id`` and
+``text`` are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_hash
+from .common import dropped, small, stored, text_hash
 from .components import components
 from .packed import Packed, Rolling, slices
 
 U = np.uint64
 _LOW = U((1 << 40) - 1)
+#: Stands for the frequency of members that are too frequent to be counted.
+_HOT = 255
 
 
 def sets_of(p: Packed, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +82,7 @@ class Csr:
 
     def __init__(self, rows: list[np.ndarray]):
         self.rows = rows
-        size = np.array([len(r) for r in rows])
+        size = np.array([len(r) for r in rows], np.int64)
         flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(rows)), size)
         order = np.argsort(flat, kind="stable")
@@ -149,18 +159,69 @@ def region_join(rows: list[np.ndarray], n: np.ndarray, near: int = 75) -> np.nda
     return np.array([top(i) for i in range(len(rows))], np.int64)
 
 
-def link_sets(docs: DataFrame, k: int = 5, near: int = 75, bucket_words: int = 2_000_000, most: int = 20_000, most_members: int = 4_000_000) -> DataFrame:
-    """``doc_id, text`` to ``t, n, comp``: of each distinct text (by hash ``t``) the set's size and its component, the smallest
-    ``t`` linked to it."""
-    keyed = docs.select("text", text_hash(F.col("text")).alias("t"))
-    chars = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+class Summary:
+    """Counts of the most frequent values of a long sequence (Misra and Gries): none is too small by more than the total over ``size``."""
+
+    def __init__(self, size: int):
+        self.size, self.values, self.counts = size, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, values: np.ndarray) -> None:
+        v, c = np.unique(values, return_counts=True)
+        v, at = np.unique(np.concatenate((self.values, v)), return_inverse=True)
+        c = np.bincount(at, np.concatenate((self.counts, c)), len(v)).astype(np.int64)
+        if len(v) > self.size:
+            c -= np.partition(c, len(c) - self.size - 1)[len(c) - self.size - 1]
+            v, c = v[c > 0], c[c > 0]
+        self.values, self.counts = v, c
+
+
+def hot_members(texts: DataFrame, k: int, n_bytes: int, bound: int, size: int = 1_000_000) -> np.ndarray:
+    """Sorted members that stand in ``bound`` texts, all of them, and some of at least an eighth of that; at most ``16 x members / bound``
+    values. Counts come from a summary a task, so they are too small by a millionth of all members at most."""
+
+    def summed(batches):
+        found, seen, waiting = Summary(size), 0, []
+        for b in batches:
+            for _, _, p in slices(b.column("text"), lower=True):
+                seen += len(p.data)
+                waiting.append(sets_of(p, k)[1])
+                if sum(map(len, waiting)) > 4 * size:
+                    found.add(np.concatenate(waiting))
+                    waiting.clear()
+        if waiting:
+            found.add(np.concatenate(waiting))
+        often = found.counts >= max(2, bound / 8 * seen / max(1, n_bytes))
+        yield pa.RecordBatch.from_arrays([pa.array(found.values[often].view(np.int64)), pa.array(found.counts[often])], ["h", "c"])
+
+    rows = texts.select("text").mapInArrow(summed, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= bound / 8).select("h").collect()
+    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
+
+
+def one_of_many(keyed: DataFrame, copies: int) -> DataFrame:
+    """``text, t`` with texts of more than ``copies`` copies once: their copies merge before the shuffle."""
+    many = stored(keyed.groupBy("t").agg(F.count("*").alias("n")).filter(F.col("n") > copies).select(F.col("t").alias("many")), "many")
+    marked = keyed.join(small(many, 2_000_000), F.col("t") == F.col("many"), "left")
+    once = marked.filter("many is not null").groupBy("t").agg(F.first("text").alias("text"))
+    return marked.filter("many is null").select("text", "t").unionByName(once.select("text", "t"))
+
+
+def sets_table(docs: DataFrame, k: int, near: int, bucket_words: int, hot: int, copies: int) -> DataFrame:
+    """``t, n, must, common, members`` of each distinct text: size of its set, how many of its common members must be looked at, and these
+    in order of frequency; 0 and null where too little is common."""
+    keyed = one_of_many(docs.select("text", text_hash(F.col("text")).alias("t")), copies)
+    chars, n_texts = docs.agg(F.sum(F.octet_length("text")), F.count("text")).first()
+    chars = chars or 0
     n_buckets = max(1, int(chars / 6 / bucket_words) + 1)
+    bound = max(hot, int(chars / 6 / 250_000))
+    frequent = hot_members(keyed, k, chars, bound) if n_texts > bound else np.zeros(0, np.uint64)
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent)
     pack_kind = "bucket int, kind int, payload binary"
     arrow = [pa.int32(), pa.int32(), pa.binary()]
     batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ([], [], []), arrow, strict=True)], ["bucket", "kind", "payload"])
 
     def deal(batches):
-        """By bucket of the hash, the texts' hashes with how many members follow, and the members; by bucket of the text, its size."""
+        """By bucket of the hash, the texts' hashes with how many members follow, and the members; by bucket of the text, its size and its frequent members."""
+        known = frequent.value
         for b in batches:
             ts = np.asarray(b.column("t"))
             for i, j, p in slices(b.column("text"), lower=True):
@@ -175,6 +236,12 @@ def link_sets(docs: DataFrame, k: int = 5, near: int = 75, bucket_words: int = 2
                     own = np.flatnonzero(fresh)[home == x]
                     rows.append((x, 1, np.stack([t[own], n[own]]).astype("<i8").tobytes()))
                 bucket = ((grams >> U(40)) % U(n_buckets)).astype(np.int64)
+                if len(known):
+                    often = known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] == grams
+                    of, v, at = t[doc[often]], grams[often] & _LOW | bucket[often].astype(np.uint64) << U(40), (t % n_buckets)[doc[often]]
+                    for x in np.unique(at).tolist():
+                        rows.append((x, 2, np.stack([of[at == x], v[at == x].view(np.int64)]).astype("<i8").tobytes()))
+                    bucket, doc, grams = bucket[~often], doc[~often], grams[~often]
                 order = np.argsort(bucket, kind="stable")
                 bucket, doc, grams = bucket[order], doc[order], grams[order]
                 for s, m in zip(*_runs(bucket), strict=True):
@@ -190,8 +257,8 @@ def link_sets(docs: DataFrame, k: int = 5, near: int = 75, bucket_words: int = 2
         for b in tables:
             for kind, payload in zip(b.column("kind").to_pylist(), b.column("payload"), strict=True):
                 raw = payload.as_buffer()
-                if kind == 1:
-                    out.append((key[0].as_py(), 1, raw.to_pybytes()))
+                if kind:
+                    out.append((key[0].as_py(), kind, raw.to_pybytes()))
                     continue
                 m = int(np.frombuffer(raw, "<i8", 1)[0])
                 t = np.frombuffer(raw, "<i8", m, 8)
@@ -209,7 +276,7 @@ def link_sets(docs: DataFrame, k: int = 5, near: int = 75, bucket_words: int = 2
             start, df = _runs(h)
             df = np.repeat(df, df)
             t, h, df = t[df > 1], h[df > 1], df[df > 1]
-            bits = np.minimum(255, np.frexp(df)[1]).astype(np.uint8)
+            bits = np.minimum(_HOT - 1, np.frexp(df)[1]).astype(np.uint8)
             order = np.lexsort((t, t % n_buckets))
             t, h, bits = t[order], h[order], bits[order]
             for s, m in zip(*_runs(t % n_buckets), strict=True):
@@ -230,6 +297,10 @@ def link_sets(docs: DataFrame, k: int = 5, near: int = 75, bucket_words: int = 2
                     x = np.frombuffer(raw, "<i8").reshape(2, -1)
                     t0.append(x[0]), n0.append(x[1])
                     continue
+                if kind == 2:
+                    x = np.frombuffer(raw, "<i8").reshape(2, -1)
+                    ts.append(x[0]), vs.append(x[1].view(np.uint64)), bs.append(np.full(x.shape[1], _HOT, np.uint8))
+                    continue
                 m, bucket = np.frombuffer(raw, "<i8", 2)
                 times = np.frombuffer(raw, "<u4", m, 16 + 8 * m)
                 size = int(times.sum())
@@ -243,6 +314,9 @@ def link_sets(docs: DataFrame, k: int = 5, near: int = 75, bucket_words: int = 2
             t, v, bits = np.concatenate(ts), np.concatenate(vs), np.concatenate(bs)
             order = np.lexsort((v, bits, t))
             t, v = t[order], v[order]
+            fresh = np.ones(len(t), bool)
+            fresh[1:] = (t[1:] != t[:-1]) | (v[1:] != v[:-1])
+            t, v = t[fresh], v[fresh]
             start, times = _runs(t)
             at = np.searchsorted(t0, t[start])
             common[at] = times
@@ -258,60 +332,195 @@ def link_sets(docs: DataFrame, k: int = 5, near: int = 75, bucket_words: int = 2
 
     dealt = keyed.mapInArrow(deal, pack_kind)
     counted = dealt.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(count, pack_kind)
-    sets = stored(counted.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(gather, "t long, n int, must int, common int, members binary"), "sets")
+    return stored(counted.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(gather, "t long, n int, must int, common int, members binary"), "sets")
 
-    def firsts(batches):
-        for b in batches:
-            t, must = np.asarray(b.column("t")), np.asarray(b.column("must"))
-            rows = [np.frombuffer(m.as_buffer(), "<i8", k) for m, k in zip(b.column("members"), must.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(t, must)), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))], ["t", "v"])
 
-    alive = sets.filter("must > 0")
-    met = stored(alive.select("t", "must", "members").mapInArrow(firsts, "t long, v long"), "firsts")
-    least = met.groupBy("v").agg(F.min("t").alias("m"), F.count("*").alias("c")).filter("c > 1").select("v", "m")
-    region = stored(components(met.join(least, "v").select(F.col("t").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()), "regions")
+def _groups(batches, key: tuple[str, ...], rest: tuple[str, ...]):
+    """Rows that follow each other with one key, as lists."""
+    last, held = None, []
+    for b in batches:
+        for row in zip(*[b.column(c).to_pylist() for c in key + rest], strict=True):
+            if row[: len(key)] != last and held:
+                yield last, held
+                held = []
+            last = row[: len(key)]
+            held.append(row[len(key) :])
+    if held:
+        yield last, held
+
+
+def _members(raw: bytes) -> np.ndarray:
+    return np.sort(np.frombuffer(raw, "<u8"))
+
+
+def _links(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
-    weighed = region.join(alive.select(F.col("t").alias("node"), "common"), "node")
-    sizes = weighed.groupBy("root").agg(F.count("*").alias("docs"), F.sum("common").alias("held"))
+
+def cell_links(held: list[tuple], near: int, every: bool) -> list[tuple[int, int]]:
+    """Links of a cell's ``t, n, members``: of each text with the least of its component, or of ``every`` pair."""
+    if len(held) < 2:
+        return []
+    held.sort(key=lambda r: r[0])
+    rows, n = [_members(m) for _, _, m in held], np.array([r[1] for r in held])
+    if not every:
+        return [(held[i][0], held[r][0]) for i, r in enumerate(region_join(rows, n, near).tolist()) if i != r]
+    csr, out = Csr(rows), []
+    for i, row in enumerate(rows):
+        both = csr.find(row)
+        out += [(held[i][0], held[j][0]) for j in np.flatnonzero(100 * both >= near * (n + n[i] - both)).tolist() if j > i]
+    return out
+
+
+def pivot_round(big: DataFrame, number: int, near: int, most: int, most_members: int, pivots: int = 32) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``cell, docs, held, t, n, members`` of large cells to the links that pivots find, ``cell, t`` of what no pivot covers, and the stored table both are read from."""
+    eps, slack = 1 - near / 100, 1e-9
+    fill = F.ceil(F.greatest(F.col("docs") / most, F.col("held") / most_members)).cast("int")
+    draw = F.pmod(F.xxhash64("t", F.lit(number)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # about so many of each cell, by a hash; none of so many members that a part would not hold them
+    drawn = big.filter((draw < pivots / F.col("docs")) & (F.octet_length("members") <= 8 * most_members // pivots))
+    dealt = drawn.select("cell", F.explode(F.sequence(F.lit(0), fill - 1)).alias("part"), F.lit(0).alias("kind"), "t", "n", "members")
+    rows = dealt.unionByName(big.select("cell", F.pmod(F.xxhash64("t", "cell"), fill).cast("int").alias("part"), F.lit(1).alias("kind"), "t", "n", "members"))
+
+    def assigned(batches):
+        for (cell, _), held in _groups(batches, ("cell", "part"), ("kind", "t", "n", "members")):
+            tops = [r for r in held if r[0] == 0]
+            docs = [r for r in held if r[0] == 1]
+            out = {c: [] for c in ("cell", "pivot", "far", "t", "n", "members")}
+
+            def put(pivot, far, r, keep, cell=cell, out=out):
+                for c, v in zip(out, (cell, pivot, far, r[1], r[2], r[3] if keep else None), strict=True):
+                    out[c].append(v)
+
+            csr, size = Csr([_members(r[3]) for r in tops]), np.array([r[2] for r in tops])
+            for r in docs:
+                both = csr.find(_members(r[3])) if tops else np.zeros(0)
+                union = size + r[2] - both
+                inside = np.flatnonzero(100 * both >= near * union)
+                until = int(inside[0]) if len(inside) else len(tops)
+                far = 1 - both / np.maximum(1, union)
+                for j in np.flatnonzero(far[:until] <= 2 * eps + slack).tolist():
+                    put(tops[j][1], float(far[j]), r, True)
+                put(tops[until][1] if len(inside) else None, float(far[until]) if len(inside) else None, r, len(inside))
+            yield pa.RecordBatch.from_arrays([pa.array(out["cell"], pa.int64()), pa.array(out["pivot"], pa.int64()), pa.array(out["far"], pa.float64()), pa.array(out["t"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["members"], pa.binary())], list(out))
+
+    found = rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "kind", "t").mapInArrow(assigned, "cell long, pivot long, far double, t long, n int, members binary")
+    found = stored(found, "balls")
+    inside = (F.col("far") <= eps + slack) & F.col("pivot").isNotNull()
+    links = found.filter(inside).select(F.col("t").alias("a"), F.col("pivot").alias("b")).filter("a <> b")
+    rest = found.filter("pivot is null").select("cell", "t")
+    # a ball meets its window in tasks of bounded size; where the ball ends too early for any of its window there is nothing to meet
+    part = lambda name, size: F.pmod(F.xxhash64("t", F.lit(name)), F.ceil(F.col(size) / most)).cast("int")
+    sizes = found.filter("pivot is not null").groupBy("cell", "pivot").agg(F.count_if(inside).alias("balls"), F.count_if(~inside).alias("windows"), F.max(F.when(inside, F.col("far"))).alias("reach")).filter("balls > 0 and windows > 0")
+    both = found.join(sizes, ["cell", "pivot"])
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.ceil(F.col(size) / most).cast("int") - 1))
+    ball = both.filter(inside).withColumn("i", part("i", "balls")).withColumn("j", every("windows"))
+    window = both.filter(~inside & (F.col("far") <= F.col("reach") + eps + slack)).withColumn("j", part("j", "windows")).withColumn("i", every("balls"))
+    cols = ["cell", "pivot", "i", "j", "far", "t", "n", "members"]
+    tasks = ball.select(*cols, F.lit(0).alias("kind")).unionByName(window.select(*cols, F.lit(1).alias("kind")))
+
+    def met(batches):
+        for _, held in _groups(batches, ("cell", "pivot", "i", "j"), ("kind", "far", "t", "n", "members")):
+            inner, outer, out = [r for r in held if r[0] == 0], [r for r in held if r[0] == 1], []
+            if inner and outer:
+                csr, n, far = Csr([_members(r[4]) for r in inner]), np.array([r[3] for r in inner]), np.array([r[1] for r in inner])
+                for r in outer:
+                    shared = csr.find(_members(r[4]))
+                    hit = np.flatnonzero((far >= r[1] - eps - slack) & (100 * shared >= near * (n + r[3] - shared)))
+                    if len(hit):  # all of a ball are one component
+                        out.append((r[2], inner[hit[0]][2]))
+            yield _links(out)
+
+    crossed = tasks.repartition("cell", "pivot", "i", "j").sortWithinPartitions("cell", "pivot", "i", "j", "kind").mapInArrow(met, "a long, b long")
+    return links.unionByName(crossed), rest, found
+
+
+def part_links(cells: DataFrame, near: int, most: int, most_members: int, every: bool) -> DataFrame:
+    """``cell, docs, held, t, n, members`` to links: a small cell is one task, of a large one all pairs of parts are."""
     fill = F.ceil(F.greatest(F.col("docs") / most, F.col("held") / most_members))
-    placed = region.join(sizes, "root").select(F.col("node").alias("t"), "root", F.when(fill > 1, 2 * fill).otherwise(1).cast("int").alias("parts"))
-    # parts of a large region meet pairwise; a small one has one part, which meets itself
+    cells = cells.withColumn("parts", F.when(fill > 1, 2 * fill).otherwise(1).cast("int"))
     part = F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")
     pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != part), lambda x: F.struct(F.least(x, part).alias("i"), F.greatest(x, part).alias("j"))))
-    tasks = placed.select("t", "root", F.explode(pairs).alias("p")).join(alive, "t").select("root", "p.i", "p.j", "t", "n", "members")
+    tasks = cells.select("cell", "t", "n", "members", F.explode(pairs).alias("p")).select("cell", "p.i", "p.j", "t", "n", "members")
 
     def joined(batches):
-        last, held = None, []
+        for _, held in _groups(batches, ("cell", "i", "j"), ("t", "n", "members")):
+            yield _links(cell_links(held, near, every))
+
+    return tasks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(joined, "a long, b long")
+
+
+def _sized(cells: DataFrame, alive: DataFrame) -> DataFrame:
+    """``cell, t`` with the sets, and the cell's numbers of documents and members."""
+    full = cells.join(alive.select("t", "n", "common", "members"), "t")
+    sizes = cells.join(alive.select("t", "common"), "t").groupBy("cell").agg(F.count("*").alias("docs"), F.sum("common").alias("held"))
+    return full.join(sizes, "cell").select("cell", "docs", "held", "t", "n", "members")
+
+
+def set_links(sets: DataFrame, near: int, most: int, most_members: int, every: bool = False) -> tuple[DataFrame, bool]:
+    """Links between the texts of :func:`sets_table`, ``a, b``, and whether each is with the least text of its component: true unless a region was large."""
+
+    def firsts(batches):
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("root", "i", "j", "t", "n", "members")]
-            out = []
-            for row in zip(*cols, strict=True):
-                if row[:3] != last and held:
-                    out += solve(held)
-                    held = []
-                last = row[:3]
-                held.append(row[3:])
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-        if held:
-            out = solve(held)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-
-    def solve(held):
-        if len(held) < 2:
-            return []
-        held.sort(key=lambda r: r[0])
-        root = region_join([np.sort(np.frombuffer(m, "<u8")) for _, _, m in held], np.array([n for _, n, _ in held]), near)
-        return [(held[i][0], held[r][0]) for i, r in enumerate(root.tolist()) if i != r]
-
-    links = stored(tasks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(joined, "a long, b long"), "links")
-    cut = placed.filter("parts > 1").limit(1).count()
-    if cut:  # stars of different tasks of a region may share documents
-        found = components(links).select(F.col("node").alias("t"), F.col("root").alias("comp"))
-    else:
+            t, must = np.asarray(b.column("t")), np.asarray(b.column("must"))
+            rows = [np.frombuffer(m.as_buffer(), "<i8", k) for m, k in zip(b.column("members"), must.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(t, must)), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))], ["t", "v"])
+
+    alive = sets.filter("must > 0")
+    first = stored(alive.select("t", "must", "members").mapInArrow(firsts, "t long, v long"), "firsts")
+    least = first.groupBy("v").agg(F.min("t").alias("m"), F.count("*").alias("c")).filter("c > 1").select("v", "m")
+    region = stored(components(first.join(least, "v").select(F.col("t").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()), "regions")
+    large = (F.col("docs") > most) | (F.col("held") > most_members)
+    cells = region.select(F.col("root").alias("cell"), F.col("node").alias("t"))
+    sized = _sized(cells, alive)
+    links = part_links(sized if every else sized.filter(~large), near, most, most_members, every)
+    big, number, found, held = sized.filter(large), 0, [], [first, region]
+    while not every:
+        big = stored(big, "large")
+        held.append(big)
+        if big.isEmpty():
+            break
+        if number == 5:
+            found.append(part_links(big, near, most, most_members, False))
+            break
+        if number == 2:  # texts that link share a first member
+            here = big.select("t").distinct()
+            again = first.join(here, "t").select("t", "v")
+            cells = again.join(again.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1").select("v"), "v").select(F.col("v").alias("cell"), "t")
+        else:
+            crossed, cells, balls = pivot_round(big, number, near, most, most_members)
+            found.append(crossed)
+            held.append(balls)
+        sized, number = _sized(cells, alive), number + 1
+        found.append(part_links(sized.filter(~large), near, most, most_members, False))
+        big = sized.filter(large)
+    for f in found:
+        links = links.unionByName(f)
+    links = stored(links, "links")
+    for table in held:
+        dropped(table)
+    return links, not found
+
+
+def link_sets(docs: DataFrame, k: int = 5, near: int = 75, bucket_words: int = 2_000_000, most: int = 5_000, most_members: int = 2_000_000, hot: int = 50_000, copies: int = 32) -> DataFrame:
+    """``doc_id, text`` to ``t, n, comp``: of each distinct text (by hash ``t``) the set's size and its component, the smallest
+    ``t`` linked to it."""
+    sets = sets_table(docs, k, near, bucket_words, hot, copies)
+    links, stars = set_links(sets, near, most, most_members)
+    if stars:
         found = links.select(F.col("a").alias("t"), F.col("b").alias("comp"))
+    else:  # links of different tasks of a region may share texts
+        found = components(links).select(F.col("node").alias("t"), F.col("root").alias("comp"))
     return sets.select("t", "n").join(found, "t", "left").select("t", "n", F.coalesce("comp", "t").alias("comp"))
 
 
+def link_pairs(docs: DataFrame, k: int = 5, near: int = 75, bucket_words: int = 2_000_000, most: int = 5_000, most_members: int = 2_000_000, hot: int = 50_000, copies: int = 32) -> DataFrame:
+    """``text`` to ``a, b``: every linked pair of different texts, by hash, ``a < b``. As many rows as there are links, so the square of a
+    group of near copies; :func:`near_duplicates` has their components for the cost of a pass."""
+    links, _ = set_links(sets_table(docs, k, near, bucket_words, hot, copies), near, most, most_members, every=True)
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, near: int = 75, **limits: int) -> DataFrame:
     """``doc_id, text`` to ``doc_id, n_shingles, component_id``, and ``t, comp`` by which rows of equal text and set can be told."""
     linked = stored(link_sets(docs, k, near, **limits), "linked")

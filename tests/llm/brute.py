@@ -31,6 +31,12 @@ def shingles(text, k=5):
     return {tuple(w[s : s + k]) for s in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
+def jaccard_pairs(texts, near=75):
+    """Linked pairs of different texts."""
+    sets = [(t, shingles(t)) for t in sorted(set(texts))]
+    return {(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if x and y and 100 * len(x & y) >= near * len(x | y)}
+
+
 def jaccard(rows, near=75):
     """(doc_id, text) to (doc_id, n_shingles, component_id)."""
     ids, sets = [i for i, _ in rows], [shingles(t) for _, t in rows]

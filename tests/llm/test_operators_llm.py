@@ -102,13 +102,60 @@ def test_components(spark, at_once):
     assert got == {x: min(root[x]) for x in linked}
 
 
-@pytest.mark.parametrize("limits", [{}, {"most": 3, "bucket_words": 50}, {"most_members": 300}])
+LIMITS = [{}, {"most": 3, "bucket_words": 50}, {"most_members": 300}, {"hot": 2, "copies": 1, "bucket_words": 1000}, {"most": 2, "most_members": 100, "hot": 3, "copies": 2}]
+
+
+@pytest.mark.parametrize("limits", LIMITS)
 def test_jaccard(spark, odd, none, limits):
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(odd, **limits).collect())
     assert got == Counter(brute.jaccard(pairs(odd)))
     assert jaccard.near_duplicates(none, **limits).count() == 0
 
 
+@pytest.mark.parametrize("limits", [LIMITS[0], LIMITS[4]])
+def test_jaccard_of_documents(spark, sf_dir, limits):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("t", F.lit(1)).withColumn("many", F.lit("x"))
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs, **limits).collect())
+    assert got == Counter(brute.jaccard(pairs(docs)))
+
+
+def chain(rng, n, length=60):
+    """Texts of which each is a little farther from the first, in several crowds."""
+    rows, base = [], []
+    for i in range(n):
+        if i % 40 == 0:
+            base = words(rng, length, 10**6)
+        text = list(base)
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(length)] = f"x{rng.randrange(10**6)}"
+        if rng.random() < 0.3:
+            base = text
+        rows.append((i, "common start of all texts here " * 2 + " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("limits", [{"most": 10}, {"most": 5, "hot": 20}, {"most_members": 2000}])
+def test_jaccard_of_large_regions(spark, limits):
+    rows = chain(random.Random(11), 240)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs, **limits).collect())
+    assert got == Counter(brute.jaccard(rows))
+    key = {r["t"]: r["text"] for r in docs.select("text", jaccard.text_hash(F.col("text")).alias("t")).collect()}
+    found = [tuple(sorted((key[r["a"]], key[r["b"]]), reverse=True)) for r in jaccard.link_pairs(docs, **limits).collect()]
+    assert len(found) == len(set(found)) and set(found) == brute.jaccard_pairs([t for _, t in rows])
+
+
+def test_summary_finds_the_frequent():
+    rng = np.random.default_rng(1)
+    values = np.concatenate((np.repeat(np.arange(5, dtype=np.uint64), 400), rng.integers(10, 10**9, 4000).astype(np.uint64)))
+    rng.shuffle(values)
+    kept = jaccard.Summary(50)
+    for x in np.array_split(values, 30):
+        kept.add(x)
+    count = dict(zip(kept.values.tolist(), kept.counts.tolist(), strict=True))
+    assert len(count) <= 50 and all(400 - len(values) / 50 <= count[i] <= 400 for i in range(5))
+
+
 def digests(df):
     return Counter(map(tuple, df.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()))
 
