@@ -1,5 +1,6 @@
 import gzip
 import json
+import random
 import shutil
 
 import pytest
@@ -124,6 +125,40 @@ def test_link_cycle_and_main(spark):
     assert plans == {"a.o": (0, ["a.o", "b.o"], True, "gcc -o r/executable0 a.o a.o b.o"), "c.o": (1, [], False, "gcc -o r/executable1 c.o ")}
 
 
+@pytest.mark.parametrize("limits", [{}, {"most_rows": 0}, {"most_rows": 12}])
+def test_closure_of_random_objects(spark, limits):
+    rng = random.Random(3)
+    rows = {(f"r{r}", f"{o}.o", t, f"s{rng.randrange(12)}") for r in range(4) for o in range(4 + 3 * r) for t in "UTTU"} | {(f"r{r}", f"{o}.o", "T", "main") for r in range(4) for o in range(0, 4 + 3 * r, 3)}
+    table = [(r, o, 10 if n == "main" else int(n[1:]) + 2 * (t == "U"), t, n) for r, o, t, n in rows]
+    offers, uses, mains = {}, {}, {(r, o) for r, o, _, _, n in table if n == "main"}
+    for r, o, p, t, n in table:
+        if t == "T" and n != "main" and ((r, o) not in mains or p < 10):
+            offers.setdefault((r, n), set()).add(o)
+        if t == "U":
+            uses.setdefault((r, o), set()).add(n)
+    want = set()
+    for r, root in mains:
+        seen, todo = set(), [root]
+        while todo:
+            a = todo.pop()
+            new = {b for n in uses.get((r, a), ()) for b in offers.get((r, n), ()) if b != a} - seen
+            seen |= new
+            todo += new
+        want |= {(r, root, b) for b in seen}
+    s = spark.createDataFrame(table, "repo string, o_path string, pos int, sym_type string, name string")
+    assert {tuple(x) for x in linking.link_closure(s, **limits).collect()} == want
+    lists, again = (sorted(map(str, linking.programs(s, c).collect())) for c in (linking.reached(s, **limits), linking.link_closure(s)))
+    assert lists == again
+
+
+def test_unfinished_closure_raises(spark):
+    rows = [("r", f"{i}.o", 0, "T", f"s{i}") for i in range(9)] + [("r", f"{i}.o", 1, "U", f"s{i + 1}") for i in range(9)] + [("r", "0.o", 2, "T", "main")]
+    s = spark.createDataFrame(rows, "repo string, o_path string, pos int, sym_type string, name string")
+    assert linking.link_closure(s, most_rows=0).count() == linking.link_closure(s).count() == 8
+    with pytest.raises(RuntimeError):
+        linking.link_closure(s, most_rows=0, rounds=3)
+
+
 def test_memory(spark):
     seg = spark.createDataFrame([("b", 65530, bytearray(b"ab\0cdefghij\0k"))], "binary_id string, vaddr long, bytes binary")
     want = spark.createDataFrame([("b", a) for a in (65530, 65531, 65533, 65536, 65543, 10)], "binary_id string, addr long")
