@@ -20,7 +20,7 @@ SYM_NAME = "case when l_partkey % 5 = 0 then 'lib_' else 'sym_' end || cast(l_pa
 O_PATH = "'COMPILED/' || cast({repo} as string) || '/' || cast({obj} as string) || '.o'"
 
 FN_SQL = "fn as (select " + ", ".join(f"{e} as {n}" for n, e in FN.items()) + " from part)"
-EDGE_SQL = f"ed as (select distinct a as src, b as dst from (select l_partkey as a, {EDGE_STEP} as b, l_quantity as q from lineitem) where b is not null and q >= 48)"
+EDGE_SQL = f"ed as (select distinct a as src, b as dst from (select l_partkey as a, {EDGE_STEP} as b from lineitem) where b is not null)"
 SYM_SQL = f"""sy as (
   select distinct cast(o_custkey % 150 as string) as repo, {O_PATH.format(repo="o_custkey % 150", obj="l_orderkey")} as obj, case l_linestatus when 'F' then 'T' else 'U' end as st, {SYM_NAME} as s from lineitem join orders on l_orderkey = o_orderkey
   union select cast(o_custkey % 150 as string), {O_PATH.format(repo="o_custkey % 150", obj="o_orderkey")}, 'T', 'main' from orders where o_orderkey % 10 = 0)"""
@@ -35,8 +35,8 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    step = _read(spark, sf_dir, "lineitem").selectExpr("l_partkey as src", f"{EDGE_STEP} as dst", "l_quantity as q")
-    return step.filter("dst is not null and q >= 48").selectExpr("'b' as binary_id", "src", "dst").distinct()
+    step = _read(spark, sf_dir, "lineitem").selectExpr("l_partkey as src", f"{EDGE_STEP} as dst")
+    return step.filter("dst is not null").selectExpr("'b' as binary_id", "src", "dst").distinct()
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,7 +164,7 @@ def link_closure(spark, d):
 
 def _programs(spark, d):
     s = A.symbols(spark, d)
-    return linking.programs(s, linking.link_closure(s))
+    return linking.programs(s, linking.reached(s))
 
 
 @query(f"{PROGRAMS} select repo, i::int as program_index, main_o, objects, root_in_closure, 'gcc -o ' || repo || '/executable' || i || ' ' || main_o || ' ' || objects as cmd from p")
@@ -250,9 +250,9 @@ def target_lookup(spark, d):
     return callgraph.target_named(A.functions(spark, d), "printf").select("target")
 
 
-@query("with e as (select distinct l_suppkey as f, l_linenumber as a, l_quantity::int % 7 as b from lineitem where l_quantity > 3) select f as func_addr, (select count(distinct x) from (select a as x from e i where i.f = e.f union all select b from e i where i.f = e.f))::int as cfg_nodes, count(*)::int as cfg_edges from e group by f")
+@query("with e as (select distinct l_suppkey as f, l_linenumber as a, l_quantity::int % 7 as b from lineitem) select f as func_addr, (select count(distinct x) from (select a as x from e i where i.f = e.f union all select b from e i where i.f = e.f))::int as cfg_nodes, count(*)::int as cfg_edges from e group by f")
 def flow_metrics(spark, d):
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_quantity > 3").selectExpr("'b' as binary_id", "l_suppkey as func_addr", "l_linenumber as src", "cast(l_quantity as int) % 7 as dst")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("'b' as binary_id", "l_suppkey as func_addr", "l_linenumber as src", "cast(l_quantity as int) % 7 as dst")
     return callgraph.flow_metrics(rows).select("func_addr", "cfg_nodes", "cfg_edges")
 
 
