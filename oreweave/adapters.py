@@ -100,18 +100,61 @@ def readelf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").selectExpr("cast(user_id as string) as binary_id", "cast(event_id as int) as line_no", f"{line} as line")
 
 
+#: Entries of an object's debug information: offset, parent, order, tag, name and type; {k} stands for a number of the object's part, {deep} for
+#: how many links its chain of pointers has.
 _DIES = [
     (0, None, 0, "DW_TAG_compile_unit", None, None), (1, 0, 1, "DW_TAG_base_type", "int", None), (2, 0, 2, "DW_TAG_base_type", "char", None), (3, 0, 3, "DW_TAG_pointer_type", None, 2),
     (4, 0, 4, "DW_TAG_const_type", None, 2), (5, 0, 5, "DW_TAG_pointer_type", None, 4), (6, 0, 6, "DW_TAG_const_type", None, 3), (7, 0, 7, "DW_TAG_pointer_type", None, None),
-    (8, 0, 8, "DW_TAG_structure_type", None, None), (9, 0, 9, "DW_TAG_structure_type", "node", None), (10, 0, 10, "DW_TAG_typedef", "size_t", 1), (11, 0, 11, "DW_TAG_volatile_type", None, 1),
-    (12, 0, 12, "DW_TAG_subprogram", "check", 1), (13, 12, 13, "DW_TAG_formal_parameter", "ptr", 5), (14, 12, 14, "DW_TAG_formal_parameter", None, 10), (15, 12, 15, "DW_TAG_formal_parameter", "raw", None),
+    (8, 0, 8, "DW_TAG_structure_type", None, None), (9, 0, 9, "DW_TAG_structure_type", "node_{k}", None), (10, 0, 10, "DW_TAG_typedef", "size_{k}", 1), (11, 0, 11, "DW_TAG_volatile_type", None, 1),
+    (12, 0, 12, "DW_TAG_subprogram", "check_{k}", 1), (13, 12, 13, "DW_TAG_formal_parameter", "ptr", 5), (14, 12, 14, "DW_TAG_formal_parameter", None, 10), (15, 12, 15, "DW_TAG_formal_parameter", "raw", None),
     (16, 0, 16, "DW_TAG_subprogram", "nothing", None), (17, 0, 17, "DW_TAG_subprogram", None, 1), (18, 0, 18, "DW_TAG_restrict_type", None, 7), (19, 0, 19, "DW_TAG_enumeration_type", "colour", None),
-    *[(20 + i, 0, 20 + i, "DW_TAG_pointer_type", None, 21 + i if i < 12 else 1) for i in range(13)],
+    *[(20 + i, 0, 20 + i, "DW_TAG_pointer_type", None, f"case when {i} < {{deep}} then {21 + i} else 9 end" if i < 12 else 1) for i in range(13)],
+    (40, 0, 40, "DW_TAG_subprogram", "walk_{k}", 20), (41, 40, 41, "DW_TAG_formal_parameter", "from", 9), (42, 40, 42, "DW_TAG_formal_parameter", "to", 6),
 ]
-DIE_VALUES = ", ".join("(" + ", ".join("null" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in _DIES)
-DIE_SQL = f"dies as (select * from (values {DIE_VALUES}) as t(die_off, parent_off, ord, tag, name, type_off))"
+
+
+def _die_fields(row: tuple) -> list[str]:
+    """One entry's fields as SQL over ``part``."""
+    off, parent, order, tag, name, kind = row
+    text = "cast(null as string)" if name is None else "'" + name.replace("{k}", "' || (p_partkey % 50) || '") + "'"
+    number = lambda x: f"cast({'null' if x is None else str(x).replace('{deep}', '(p_size % 14)')} as bigint)"
+    return [number(off), number(parent), str(order), f"'{tag}'", text, number(kind)]
+
+
+_DIE_COLS = ["die_off", "parent_off", "ord", "tag", "name", "type_off"]
+O_OF_PART = "'COMPILED/p' || p_partkey || '.o'"
+DIE_SQL = "dies as (" + " union all ".join(f"select {O_OF_PART} as o_path, " + ", ".join(f"{e} as {n}" for n, e in zip(_DIE_COLS, _die_fields(row), strict=True)) + " from part" for row in _DIES) + ")"
 
 
 def dies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = spark.sql(f"select * from values {DIE_VALUES} as t(die_off, parent_off, ord, tag, name, type_off)")
-    return made.selectExpr("'a.o' as o_path", "cast(die_off as bigint) as die_off", "cast(parent_off as bigint) as parent_off", "ord", "tag", "name", "cast(type_off as bigint) as type_off")
+    """An object for each part, with an entry for each of ``_DIES``."""
+    rows = ", ".join("named_struct(" + ", ".join(f"'{n}', {e}" for n, e in zip(_DIE_COLS, _die_fields(row), strict=True)) + ")" for row in _DIES)
+    made = _read(spark, sf_dir, "part").selectExpr(f"{O_OF_PART} as o_path", f"inline(array({rows}))")
+    return made.withColumn("ord", F.col("ord").cast("int"))
+
+
+#: What the dump of a file of each document holds; every seventh line is no JSON.
+BROKEN = "doc_id % 7 = 3"
+
+
+def dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``value``: lines of a dump, one for each document."""
+    d = _read(spark, sf_dir, "documents").filter("text is not null")
+    files = F.array(F.struct(F.concat(F.lit("./d//"), F.col("doc_id"), F.lit(".c")).alias("file_path"), F.col("text").alias("file_content")))
+    made = d.withColumn("line", F.to_json(F.struct(F.concat_ws("/", "source", "lang").alias("repo_name"), files.alias("file_array"))))
+    return made.select(F.when(F.expr(BROKEN), F.concat("line", F.lit(" x"))).otherwise(F.col("line")).alias("value"))
+
+
+def nm_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``repo, o_path, pos, line`` as a symbol lister prints them, with a line that names no symbol."""
+    said = F.when(F.col("sym_type") == "U", F.concat(F.lit("                 U "), "name")).otherwise(F.concat(F.lpad(F.lower(F.hex("pos")), 16, "0"), F.lit(" T "), "name"))
+    return symbols(spark, sf_dir).select("repo", "o_path", "pos", said.alias("line"))
+
+
+def insn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three blocks for each part's function, given last first; the second of every fifth could not be lifted."""
+    insn = lambda text: f"named_struct('address', cast(0 as bigint), 'size', 4, 'text', {text}, 'operands', array(named_struct('type', 'REG', 'imm', cast(null as bigint), 'base', cast(null as string), 'disp', cast(null as bigint))))"
+    of = lambda *texts: f"array({', '.join(insn(t) for t in texts)})"
+    first, second, third = of("'push rbp'", "'mov eax, ' || p_size"), of("'call ' || p_partkey"), of("'ret'")
+    row = lambda n, insns: f"named_struct('block_ord', {n}, 'block_addr', cast({4096 + 16 * n} as bigint), 'insns', {insns})"
+    return _read(spark, sf_dir, "part").selectExpr("'b' as binary_id", "p_partkey as func_addr", f"inline(array({row(2, third)}, {row(1, f'case when p_partkey % 5 <> 0 then {second} end')}, {row(0, first)}))")

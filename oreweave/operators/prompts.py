@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +23,6 @@ def function_data(functions: DataFrame, assembly: DataFrame, count: Column) -> D
     return out.withColumn("token_count", F.coalesce(count, F.lit(0)).cast("bigint"))
 
 
-def whitespace_tokens(text: Column) -> Column:
-    """A native token count for tests: runs without white space."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("bigint")
-
-
 def context_parts(context: DataFrame) -> DataFrame:
     """``binary_id, target, callers, callees``: blocks in order of selection, the first of each name in either list.
 
@@ -63,6 +60,30 @@ def context_overview(context: DataFrame) -> DataFrame:
     return context.groupBy("binary_id", "target").agg(F.concat(F.array_join(F.transform(each, lambda x: x["t"]), ""), F.lit("\n")).alias("overview"))
 
 
+def candidate_listing(context: DataFrame) -> DataFrame:
+    """``binary_id, target, listing``: each function under a comment line with its assembly, in order of ``sel_ord``."""
+    block = F.concat(F.lit(";;; Function: "), F.coalesce(F.nullif("name", F.lit("")), F.lit("unknown_function")), F.lit(" (degree "), F.col("degree").cast("string"), F.lit(")\n"), F.coalesce("assembly", F.lit("")), F.lit("\n\n"))
+    each = F.array_sort(F.collect_list(F.struct("sel_ord", block.alias("t"))))
+    return context.groupBy("binary_id", "target").agg(F.array_join(F.transform(each, lambda x: x["t"]), "").alias("listing"))
+
+
+def text_files(targets: DataFrame, context: DataFrame, prompted: DataFrame) -> DataFrame:
+    """``binary_id, target, file, content``: the texts kept for each target beside its prompt."""
+    named = lambda df, file, column: df.select("binary_id", "target", F.lit(file).alias("file"), F.coalesce(column, F.lit("")).alias("content"))
+    parts = [
+        named(context_overview(context), "selected_context_functions.txt", "overview"),
+        named(candidate_listing(context), "context_candidate_assembly.txt", "listing"),
+        named(prompted, "final_model_input.txt", "model_input"),
+        named(targets, "target_assembly.txt", "assembly"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_texts(files: DataFrame, path: str) -> None:
+    """The texts of :func:`text_files` as a table, a folder for each kind of file."""
+    files.write.mode("overwrite").partitionBy("file").parquet(path)
+
+
 def legacy_prompts(targets: DataFrame, context: DataFrame) -> DataFrame:
     """The older layout: each context function under a comment line, separated by marks, the target last."""
     head = F.concat(F.lit(";;; Context: "), F.coalesce(F.nullif("name", F.lit("")), F.lit("unknown_function")), F.lit(" (degree "), F.col("degree").cast("string"), F.lit(", role "), F.col("role"), F.lit(")\n"), F.col("assembly"))

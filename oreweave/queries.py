@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from .functions import columns as C
 from .functions import python as P
 from .operators import callgraph, constants, debuginfo, headers, labels, linking, prompts, selection
 from .plans import fixed
-from .sources import ingest
+from .plans.store import shared_dir
+from .sources import ingest, tools
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,9 +132,42 @@ def provenance_prefix(spark, d):
     return made.select("page_id", C.with_provenance(F.col("content"), F.concat(F.lit("gcc -c p"), F.col("page_id")), F.col("page_id") % 2 == 0).alias("content"))
 
 
+@query(f"select replace(source || '/' || lang, '/', '_') as repo, 'd/' || doc_id || '.c' as path, text as content from documents where text is not null and source is not null and lang is not null and not ({A.BROKEN})")
+def jsonl_ingest(spark, d):
+    """A compressed dump is written, read line by line and parsed; broken lines fall out."""
+    path = f"{shared_dir(spark)}/oreweave-dump-{uuid.uuid4().hex}"
+    A.dump_lines(spark, d).write.option("compression", "gzip").text(path)
+    return ingest.last_writes(ingest.files_of(ingest.parse_lines(ingest.read_lines(spark, path)))).select("repo", "path", "content")
+
+
+@query("select 's' || s_suppkey as repo from supplier where s_suppkey >= 5")
+def repo_resume(spark, d):
+    listing = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("s"), "s_suppkey").alias("repo"), F.col("s_suppkey").alias("listed"))
+    return ingest.resume_from(listing, "s5").select("repo")
+
+
+@query("select s_suppkey as unit, (s_suppkey % 3)::int as rc, case when s_suppkey % 3 = 1 then 'bad' || chr(10) else '' end as stderr from supplier where s_suppkey % 4 <> 0 union all select s_suppkey, null, null from supplier where s_suppkey % 4 = 0")
+def command_runs(spark, d):
+    """Real commands, every fourth one too long and skipped."""
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    cmds = s.selectExpr("s_suppkey as unit", "case when s_suppkey % 3 = 1 then 'echo bad >&2; ' else '' end || 'exit ' || (s_suppkey % 3) as cmd", "s_suppkey % 4 = 0 as skipped")
+    return tools.run_commands(cmds).select("unit", "rc", "stderr")
+
+
+@query("""select cast(o_custkey % 150 as varchar) as repo, 'gcc ' || o_orderkey || chr(10) || o_orderkey || '.c' || chr(10) || 'error ' || o_orderpriority as entry from orders where o_orderkey % 7 = 0""")
+def error_log(spark, d):
+    runs = spark.read.parquet(f"{d}/orders.parquet").selectExpr("cast(o_custkey % 150 as string) as repo", "'gcc ' || o_orderkey as cmd", "o_orderkey || '.c' as c_path", "'error ' || o_orderpriority as stderr", "case when o_orderkey % 7 = 0 then 1 when o_orderkey % 7 < 5 then 0 end as rc")
+    return tools.error_log(runs)
+
+
 # linking
 
 
+@query(f"with {A.SYM_SQL} select repo, obj as o_path, rank() over (partition by repo, obj order by s)::int as pos, st as sym_type, s as name from sy")
+def nm_symbols(spark, d):
+    return linking.symbol_rows(A.nm_lines(spark, d))
+
+
 @query(f"with {A.SYM_SQL} select obj as o_path, coalesce(string_agg(s, ',' order by s) filter (where st = 'U'), '') as u_syms, coalesce(string_agg(s, ',' order by s) filter (where st = 'T'), '') as t_syms from sy group by repo, obj")
 def symbol_lists(spark, d):
     out = linking.symbol_lists(A.symbols(spark, d))
@@ -330,6 +365,21 @@ def assembly_listing(spark, d):
     return prompts.listings(A.blocks(spark, d)).select("func_addr", "assembly")
 
 
+INSNS = "';;; Block @ 0x1000' || chr(10) || 'push rbp' || chr(10) || 'mov eax, ' || p_size || case when p_partkey % 5 <> 0 then chr(10) || ';;; Block @ 0x1010' || chr(10) || 'call ' || p_partkey else '' end || chr(10) || ';;; Block @ 0x1020' || chr(10) || 'ret'"
+
+
+@query(f"select p_partkey as func_addr, {INSNS} as assembly from part")
+def insn_listing(spark, d):
+    return prompts.listings(A.insn_blocks(spark, d)).select("func_addr", "assembly")
+
+
+@query(f"with {A.FN_SQL}, i as (select p_partkey as addr, {INSNS} as assembly from part) select fn.addr, name, coalesce(i.assembly, '') as assembly, coalesce(len(regexp_extract_all(i.assembly, '\\S+')), 0) as token_count from fn left join (select * from i where addr % 9 <> 0) i using (addr)")
+def function_records(spark, d):
+    """Every ninth function has no listing."""
+    listed = prompts.listings(A.insn_blocks(spark, d)).filter("func_addr % 9 <> 0")
+    return prompts.function_data(A.functions(spark, d).drop("token_count"), listed, P.token_counter(lambda: str.split)("assembly")).select("addr", "name", "assembly", "token_count")
+
+
 @query(f"with {LISTING} select conv_id as func_addr, len(regexp_extract_all(assembly, '\\S+')) as token_count from b")
 def token_count(spark, d):
     return prompts.listings(A.blocks(spark, d)).select("func_addr", P.token_counter(lambda: str.split)("assembly").alias("token_count"))
@@ -388,6 +438,16 @@ def context_overview(spark, d):
     return prompts.context_overview(selection.picked_rows(out, cands)).select("target", "overview")
 
 
+@query(f"""{PROMPT}, pk as (select pi.t, pi.f, sel_ord, role, degree, name, case when pi.f % 9 <> 0 then ' mov ' || pi.f || chr(10) || 'ret ' else '' end as code from pi join sc on sc.t = pi.t and sc.f = pi.f)
+select t as target, 'selected_context_functions.txt' as file, string_agg(';;; Function: ' || name || ' (degree ' || degree || ', role ' || role || ', mode assembly)' || chr(10), '' order by sel_ord) || chr(10) as content from pk group by t
+union all select t, 'context_candidate_assembly.txt', string_agg(';;; Function: ' || name || ' (degree ' || degree || ')' || chr(10) || code || chr(10) || chr(10), '' order by sel_ord) from pk group by t
+union all select target, 'final_model_input.txt', model_input from pr
+union all select addr, 'target_assembly.txt', ' mov ' || addr || chr(10) || 'ret ' from fn""")
+def text_files(spark, d):
+    targets, context, block = _prompt_parts(spark, d)
+    return prompts.text_files(targets, context, prompts.prompts(targets, context, block)).select("target", "file", "content")
+
+
 @query(f"with {A.LIT_SQL} select addr % 1000 as func_addr, count(*) as n_literals, count(*) filter (where {BLOB} <> 'DAT') as n_named from lit group by 1")
 def literal_multimap(spark, d):
     """Literals of each function, gathered and counted."""
@@ -467,25 +527,32 @@ DIE_SQL = f"""with recursive {A.DIE_SQL},
 wr as (select *, tag in ('DW_TAG_pointer_type', 'DW_TAG_const_type', 'DW_TAG_volatile_type', 'DW_TAG_restrict_type') as wrap from dies),
 own as (select *, case tag when 'DW_TAG_base_type' then coalesce(name, 'UNKNOWN_BASE') when 'DW_TAG_typedef' then coalesce(name, 'typedef_anon') when 'DW_TAG_structure_type' then 'structure_type ' || coalesce(name, '/*anon*/') when 'DW_TAG_union_type' then 'union_type ' || coalesce(name, '/*anon*/') when 'DW_TAG_enumeration_type' then 'enumeration_type ' || coalesce(name, '/*anon*/') else coalesce(name, 'UNKNOWN_TYPE') end as plain,
   case tag when 'DW_TAG_const_type' then 'const ' when 'DW_TAG_volatile_type' then 'volatile ' else '' end as pre, case tag when 'DW_TAG_pointer_type' then ' *' else '' end as post from wr),
-walk as (select die_off, die_off as at, '' as pre, '' as post, 0 as depth from own union all select w.die_off, o.type_off, w.pre || o.pre, o.post || w.post, w.depth + 1 from walk w join own o on o.die_off = w.at where o.wrap and o.type_off is not null and w.depth <= 10),
-ended as (select w.die_off, case when w.depth > 10 then w.pre || 'UNKNOWN_TYPE' || w.post when not o.wrap then w.pre || o.plain || w.post else w.pre || o.pre || case when o.tag = 'DW_TAG_pointer_type' then 'void' else 'UNKNOWN_TYPE' end || o.post || w.post end as type_name from walk w join own o on o.die_off = w.at where w.depth > 10 or not o.wrap or o.type_off is null)"""
+walk as (select o_path, die_off, die_off as at, '' as pre, '' as post, 0 as depth from own union all select w.o_path, w.die_off, o.type_off, w.pre || o.pre, o.post || w.post, w.depth + 1 from walk w join own o on o.o_path = w.o_path and o.die_off = w.at where o.wrap and o.type_off is not null and w.depth <= 10),
+ended as (select w.o_path, w.die_off, case when w.depth > 10 then w.pre || 'UNKNOWN_TYPE' || w.post when not o.wrap then w.pre || o.plain || w.post else w.pre || o.pre || case when o.tag = 'DW_TAG_pointer_type' then 'void' else 'UNKNOWN_TYPE' end || o.post || w.post end as type_name from walk w join own o on o.o_path = w.o_path and o.die_off = w.at where w.depth > 10 or not o.wrap or o.type_off is null)"""
 
 
-@query(f"{DIE_SQL} select die_off::bigint as die_off, type_name from ended")
+@query(f"{DIE_SQL} select o_path, die_off, type_name from ended")
 def dwarf_type_names(spark, d):
-    return debuginfo.type_names(A.dies(spark, d)).select("die_off", "type_name")
+    return debuginfo.type_names(A.dies(spark, d)).select("o_path", "die_off", "type_name")
 
 
-SIGNED = f"""{DIE_SQL}, pa as (select parent_off, string_agg(coalesce(e.type_name, 'UNKNOWN_TYPE') || ' ' || coalesce(name, 'param'), ', ' order by ord) as ps from dies left join ended e on e.die_off = dies.type_off where tag = 'DW_TAG_formal_parameter' group by parent_off),
-si as (select ord, name as func_name, coalesce(e.type_name, 'void') || ' ' || name || '(' || coalesce(ps, 'void') || ');' as signature_hint from dies left join ended e on e.die_off = dies.type_off left join pa on pa.parent_off = dies.die_off where tag = 'DW_TAG_subprogram' and name is not null)"""
+SIGNED = f"""{DIE_SQL}, pa as (select d.o_path, parent_off, string_agg(coalesce(e.type_name, 'UNKNOWN_TYPE') || ' ' || coalesce(name, 'param'), ', ' order by ord) as ps from dies d left join ended e on e.o_path = d.o_path and e.die_off = d.type_off where tag = 'DW_TAG_formal_parameter' group by all),
+si as (select d.o_path, ord, name as func_name, coalesce(e.type_name, 'void') || ' ' || name || '(' || coalesce(ps, 'void') || ');' as signature_hint from dies d left join ended e on e.o_path = d.o_path and e.die_off = d.type_off left join pa on pa.o_path = d.o_path and pa.parent_off = d.die_off where tag = 'DW_TAG_subprogram' and name is not null)"""
 
 
-@query(f"{SIGNED} select ord, func_name, signature_hint from si")
+@query(f"{SIGNED} select o_path, ord, func_name, signature_hint from si")
 def dwarf_signatures(spark, d):
-    return debuginfo.signatures(A.dies(spark, d)).select("ord", "func_name", "signature_hint")
+    return debuginfo.signatures(A.dies(spark, d)).select("o_path", "ord", "func_name", "signature_hint")
+
+
+@query(f"{SIGNED} select func_name, string_agg(o_path || ' ' || signature_hint, chr(10) order by o_path, ord) as hints from si group by func_name")
+def dwarf_scan(spark, d):
+    """All signatures of each name over all objects."""
+    found = debuginfo.lookup(debuginfo.signatures(A.dies(spark, d)))
+    return found.select("func_name", F.array_join(F.transform("hints", lambda x: F.concat_ws(" ", x["o_path"], x["signature_hint"])), "\n").alias("hints"))
 
 
-@query(f"{SIGNED} select func_name, arg_min(signature_hint, ord) as signature_hint from si group by func_name")
+@query(f"{SIGNED} select func_name, signature_hint from (select *, row_number() over (partition by func_name order by o_path, ord) as n from si) where n = 1")
 def signature_lookup(spark, d):
     return debuginfo.first_signature(debuginfo.signatures(A.dies(spark, d)))
 

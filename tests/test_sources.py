@@ -26,7 +26,7 @@ def test_units_and_listing(spark):
     listing = spark.createDataFrame([("b", 0), ("a", 1), ("c", 2)], "repo string, listed int")
     assert sorted(r["repo"] for r in ingest.resume_from(listing, "a").collect()) == ["a", "c"]
     assert ingest.resume_from(listing, "zz").count() == 0
-    assert ingest.latest_by_rank(files.withColumn("file_idx", F.lit(0))).count() == 3
+    assert ingest.last_writes(files.withColumns({"file_idx": F.lit(0), "repo_name": F.lit("r"), "is_escaping": F.lit(False)})).count() == 3
 
 
 def test_write_tree(spark, tmp_path):
