@@ -488,3 +488,26 @@ def test_stages(spark, odd, none):
     least = {r[2] for r in brute.jaccard(pairs(odd)) if r[1]}
     assert {i for i in kept if i not in (4, 5, 6, None)} == least - {None} and max(kept[i] for i in least if i) == 1
     assert next(r["kept"] for r in substrings.dedup_substrings(odd).collect() if r["doc_id"] == 5) == ""
+
+
+CLASHES = "n_lines n_removed emptied gone t t1 _t _tt _id _gone _first in_id in_t first_id first_t rest row text_hash lang_pred score held_out _letters hit_id hit_t i k p sh df w wh near fp size need cell part doc many pair copy _pair _copies _source _seed comp component_id n_shingles worded h1 h2 x site".split()
+
+
+def test_columns_of_any_name_come_back(spark, odd):
+    item = " ".join(f"q{i}" for i in range(30))
+    plain = odd.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame([(1, "before " + item + " after", "en", "a", 5), (None, item, "en", "b", 6)], DOCS))
+    docs = plain.select("*", *[F.concat_ws("|", F.lit(c), F.col("doc_id"), F.col("source")).alias(c) for c in CLASHES])
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string").withColumn("t", F.lit(1))
+    for name, stage in {"keep_identified": stages.keep_identified, "cut_lines": stages.cut_lines, "keep_one_of_each": stages.keep_one_of_each, "drop_contaminated": lambda d: stages.drop_contaminated(d, bench), "mix": stages.mix}.items():
+        out, want = stage(docs), stage(plain)
+        assert set(out.columns) == set(docs.columns), name
+        shared = [c for c in ("doc_id", "text", "lang", "source", "n_chars")]
+        assert Counter(map(str, out.select(shared).collect())) == Counter(map(str, want.select(shared).collect())), name
+        for r in out.collect():
+            tail = "|".join(str(x) for x in (r["doc_id"], r["source"]) if x is not None)
+            for c in CLASHES:
+                assert (name == "mix" and c == "copy") or r[c] == (f"{c}|{tail}" if tail else c), (name, c)
+    kept = [(r["doc_id"], r["text"]) for r in stages.drop_contaminated(docs, bench).collect()]
+    assert not any("q3 q4" in (t or "") for _, t in kept)
+    # others with the id of a contaminated document, or without one as another, stay
+    assert Counter(i for i, _ in kept) == Counter(r["doc_id"] for r in odd.collect())
