@@ -29,7 +29,12 @@ def test_stages_one_by_one(spark, sf_dir):
             sql = "with " + decontaminate.SQL_PARTS.replace("{p}", "h").replace("{docs}", "d").replace("{benchmark}", f"'{sf_dir}/benchmark.parquet'") + " select distinct doc_id from h_x"
             assert set(was) - set(now) == {r[0] for r in con.execute(sql).fetchall()}
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
-    assert len(last) == sizes[-1] and all(r["taken"] <= 3 * r["size"] for r in last)
+    counts = {r["doc_id"]: r for r in mixing.mix_sources(docs).collect()}
+    assert all(r["taken"] <= 3 * r["size"] for r in counts.values())
+    want = Counter((str(r), k + 1) for r in docs.collect() for k in range(counts[r["doc_id"]]["copies"]))
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert mixed.columns == [*columns, "copy"]
+    assert Counter((str(r["x"]), r["copy"]) for r in mixed.selectExpr(f"struct({', '.join(columns)}) as x", "copy").collect()) == want
     whole = corpus_pipeline.run(spark, sf_dir)
     assert Counter(map(str, whole.collect())) == Counter(map(str, last))
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.5 * sizes[0]
