@@ -9,7 +9,6 @@ from ..functions import columns as C
 from ..plans import fixed
 
 
-
 def role_rank(role: Column) -> Column:
     return F.when(role == "caller", 0).otherwise(1)
 
@@ -34,25 +33,24 @@ def neighbours(edges: DataFrame, degrees: int = fixed.DEGREES, targets: DataFram
     """
     nb = adjacency(edges, corrected)
     start = nb if targets is None else nb.join(targets.select("binary_id", F.col("target").alias("n")).distinct(), ["binary_id", "n"], "left_semi")
-    found = start.filter("f <> n").select("binary_id", F.col("n").alias("target"), F.col("f").alias("addr"), "role")
-    rounds = [found.withColumn("degree", F.lit(1))]
-    visited = None  # beyond the target itself
-    frontier = found.select("binary_id", "target", F.col("addr").alias("n")).distinct()
+    roles = ("caller", "callee")
+    key = ["binary_id", "target", "addr"]
+    least = lambda role, value: F.min(F.when(F.col("role") == role, value)).alias(role)
+    # who is known, the round it was found in, and the smallest degree by either role; one aggregation a round keeps it so, partitioned by its key
+    known = start.filter("f <> n").select("binary_id", F.col("n").alias("target"), F.col("f").alias("addr"), "role").groupBy(*key).agg(F.lit(1).alias("since"), *[least(r, F.lit(1)) for r in roles])
     for d in range(2, degrees + 1):
-        step = frontier.join(nb, ["binary_id", "n"]).filter("f <> target")
-        here = frontier.select("binary_id", "target", F.col("n").alias("f"), F.lit(True).alias("same"))
-        step = step.join(here, ["binary_id", "target", "f"], "left").filter("same is null or f >= n")
-        if visited is not None:
-            step = step.join(visited.withColumnRenamed("n", "f"), ["binary_id", "target", "f"], "left_anti")
-        kept = step.select("binary_id", "target", F.col("f").alias("addr"), "role")
-        rounds.append(kept.withColumn("degree", F.lit(d)))
-        if d < degrees:
-            visited = frontier if visited is None else visited.unionByName(frontier)
-            frontier = kept.select("binary_id", "target", F.col("addr").alias("n")).distinct().join(visited, ["binary_id", "target", "n"], "left_anti")
-    every = rounds[0]
-    for r in rounds[1:]:
-        every = every.unionByName(r)
-    return every.groupBy("binary_id", "target", "addr", "role").agg(F.min("degree").alias("degree"))
+        step = known.filter(F.col("since") == d - 1).select("binary_id", "target", F.col("addr").alias("n")).join(nb, ["binary_id", "n"]).filter("f <> target")
+        step = step.select("binary_id", "target", F.col("f").alias("addr"), "role", (F.col("n") <= F.col("f")).alias("up"))
+        none = {"since": "int"} | dict.fromkeys(roles, "int")
+        step = step.select("*", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+        rows = step.unionByName(known.select(*key, *none, F.lit(None).cast("string").alias("role"), F.lit(None).cast("boolean").alias("up")))
+        met = [F.coalesce(F.bool_or(F.when(F.col("role") == r, F.col("up") if up else F.lit(True))), F.lit(False)).alias(f"{r}_{up}") for r in roles for up in (0, 1)]
+        rows = rows.groupBy(*key).agg(F.min("since").alias("since"), *[F.min(r).alias(r) for r in roles], *met)
+        taken = {r: F.when(F.col("since").isNull(), F.col(f"{r}_0")).when(F.col("since") == d - 1, F.col(f"{r}_1")).otherwise(False) for r in roles}
+        found = F.when(taken[roles[0]] | taken[roles[1]], F.lit(d))
+        known = rows.select(*key, F.coalesce("since", found).alias("since"), *[F.coalesce(r, F.when(taken[r], F.lit(d))).alias(r) for r in roles])
+    each = F.filter(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("degree")) for r in roles]), lambda x: x["degree"].isNotNull())
+    return known.select(*key, F.explode(each).alias("x")).select(*key, "x.role", "x.degree")
 
 
 def first_roles(found: DataFrame) -> DataFrame:

@@ -68,13 +68,15 @@ def select_context(targets: DataFrame, cands: DataFrame, budget: int = fixed.BUD
     nothing is left, the context is empty. Targets without candidates stay, with an empty context.
     """
     rows = cands.select("binary_id", "target", "addr", "degree", (-F.col("score")).alias("ns"), callgraph.role_rank(F.col("role")).alias("r"), F.col("token_count").cast("bigint").alias("tok"))
-    lists = rows.groupBy("binary_id", "target").agg(_ranked(True).alias("by_tokens"), _ranked(False).alias("by_score"))
+    # gathered once, in order of score and tokens; the few most important come from the same list
+    lists = rows.groupBy("binary_id", "target").agg(_ranked(True).alias("by_tokens"))
+    again = F.array_sort(F.transform("by_tokens", lambda x: F.struct(x["ns"].alias("ns"), x["degree"].alias("degree"), x["r"].alias("r"), x["addr"].alias("addr"), x["tok"].alias("tok"))))
     left = (F.lit(budget) - F.col("token_count")).cast("bigint")
     low, mid = (share * budget for share in fixed.LEVEL_SHARES)
     level = F.when(F.col("left") <= 0, F.lit(None).cast("int")).when(F.col("left") <= low, 2).when(F.col("left") <= mid, 1).otherwise(0)
     none = F.array().cast("array<bigint>")
     start = F.struct(F.col("left").alias("left"), none.alias("ids"))
-    best = F.filter(F.slice("by_score", 1, fixed.IMPORTANT), lambda x: x["tok"] <= fixed.LARGE_SHARE * budget)
+    best = F.filter(F.slice(again, 1, fixed.IMPORTANT), lambda x: x["tok"] <= fixed.LARGE_SHARE * budget)
     out = targets.select("binary_id", "target", left.alias("left")).withColumn("level", level).join(lists, ["binary_id", "target"], "left")
     out = out.withColumn("first", F.when(F.col("level") == 1, F.aggregate(best, start, _take)).otherwise(start))
     rest = F.filter("by_tokens", lambda x: ~F.array_contains(F.col("first.ids"), x["addr"]))
