@@ -1,4 +1,5 @@
 import json
+import shutil
 from pathlib import Path
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oreweave.functions import python as P
 from oreweave.operators import callgraph, debuginfo, labels
-from oreweave.sources import ingest, tools
+from oreweave.sources import elf, ingest, tools
 
 
 def test_fast_reader_agrees_on_sound_lines(spark, tmp_path):
@@ -76,3 +77,25 @@ def test_roles(spark, corrected, role):
     edges = spark.createDataFrame([("b", 1, 2)], "binary_id string, src long, dst long")
     targets = spark.createDataFrame([("b", 1)], "binary_id string, target long")
     assert [tuple(r) for r in callgraph.neighbours(edges, 2, targets, corrected).collect()] == [("b", 1, 2, role, 1)]
+
+
+def test_elf_tables(spark, tmp_path):
+    if not shutil.which("as") or not shutil.which("ld"):
+        pytest.skip("binutils are missing")
+    (tmp_path / "a.s").write_text('.globl _start\n.type _start, @function\n_start:\n call helper\n ret\n.type helper, @function\nhelper:\n ret\n.section .rodata\n.globl text\ntext: .string "literal text"\n')
+    (tmp_path / "b.s").write_text(".globl f\n.type f, @function\nf:\n call puts\n ret\n")
+    for n in "ab":
+        assert tools.run(["as", str(tmp_path / f"{n}.s"), "-o", str(tmp_path / f"{n}.o")])[0] == 0
+    assert tools.run(["ld", str(tmp_path / "a.o"), "-o", str(tmp_path / "a.out")])[0] == 0
+    (tmp_path / "junk.o").write_bytes(b"\x7fELF junk")
+    objects = tools.read_binaries(spark, str(tmp_path), "{a.out,*.o}")
+    base = lambda r: Path(r["binary_id"]).name
+    rows = elf.functions(objects).collect()
+    assert {(base(r), r["name"], r["status"]) for r in rows} == {("a.out", "_start", "ok"), ("a.out", "helper", "ok"), ("a.o", "_start", "ok"), ("a.o", "helper", "ok"), ("b.o", "f", "ok"), ("junk.o", None, "load_failed")}
+    listed = {r["line"].split()[-1]: int(r["line"].split()[0], 16) for r in tools.nm_lines(objects.filter("path like '%a.out'")).collect()}
+    assert all(listed[r["name"]] == r["addr"] for r in rows if base(r) == "a.out")
+    assert {(base(r), r["symbol"]) for r in elf.undefined(objects).filter("status = 'ok'").collect()} == {("b.o", "puts")}
+    loaded = [r for r in elf.segments(objects).collect() if base(r) == "a.out"]
+    held = next(r for r in loaded if r["vaddr"] <= listed["text"] < r["vaddr"] + len(r["bytes"]))
+    at = listed["text"] - held["vaddr"]
+    assert bytes(held["bytes"])[at : at + 13] == b"literal text\0"
