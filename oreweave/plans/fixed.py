@@ -38,6 +38,11 @@ LOWEST_CONSTANT = 0x1000
 MAX_TYPE_DEPTH = 10
 NO_LABEL = "/* NO_GROUND_TRUTH_AVAILABLE */"
 
+# How a function's head looks in C text, and the spellings of a literal that are looked for, in this order:
+# as it is, line feeds escaped, escapes as line feeds, without white space at its ends, without line feeds.
+FUNCTION_HEAD = r"[A-Za-z0-9_*\s]+?\b{name}\s*\([^;]*\)\s*\{{"
+LITERAL_SPELLINGS = [("", ""), ("\n", "\\n"), ("\\n", "\n"), "strip", ("\n", "")]
+
 # Defaults of the compile step.
 COMPILER, OPTIMISATION, TIMEOUT_S, FILE_BLOCKS, ARG_MAX = "gcc", 1, 60, 5242880, 2097152
 
