@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,32 +27,46 @@ def adjacency(edges: DataFrame, corrected: bool = False) -> DataFrame:
     )
 
 
-def neighbours(edges: DataFrame, degrees: int = fixed.DEGREES, targets: DataFrame | None = None, corrected: bool = False) -> DataFrame:
-    """``binary_id, target, addr, role, degree``: who is within ``degrees`` steps, by role with the smallest degree.
+ROLES = ("caller", "callee")
+
+
+def _degree(role: str) -> Column:
+    """Smallest degree by a role out of ``state``; null without any. ``state`` has the round a neighbour was found in, then a byte for each role."""
+    return F.nullif(F.shiftright("state", 8 * (1 + ROLES.index(role))).bitwiseAND(F.lit(255)), F.lit(0))
+
+
+def hops(edges: DataFrame, degrees: int = fixed.DEGREES, targets: DataFrame | None = None, corrected: bool = False) -> DataFrame:
+    """``binary_id, target, addr, caller, callee``: who is within ``degrees`` (up to 255) steps, with the smallest degree by either role.
 
     Nodes of one round count as visited in ascending order: a neighbour in the same round is taken from a smaller node only,
-    or through a self-loop. ``targets`` (``binary_id, target``) restricts the search; by default all nodes are targets.
+    or through a self-loop. ``targets`` (``binary_id, target``) restricts the search; by default all nodes are targets. A round is one
+    join and one aggregation of bits, so that paths to one neighbour merge before the shuffle.
     """
     nb = adjacency(edges, corrected)
     start = nb if targets is None else nb.join(targets.select("binary_id", F.col("target").alias("n")).distinct(), ["binary_id", "n"], "left_semi")
-    roles = ("caller", "callee")
     key = ["binary_id", "target", "addr"]
-    least = lambda role, value: F.min(F.when(F.col("role") == role, value)).alias(role)
-    # who is known, the round it was found in, and the smallest degree by either role; one aggregation a round keeps it so, partitioned by its key
-    known = start.filter("f <> n").select("binary_id", F.col("n").alias("target"), F.col("f").alias("addr"), "role").groupBy(*key).agg(F.lit(1).alias("since"), *[least(r, F.lit(1)) for r in roles])
+    bit = lambda d: reduce(lambda x, r: F.when(F.col("role") == r, 1 << 8 * (1 + ROLES.index(r)) if d else 0).otherwise(x), ROLES, F.lit(0))
+    known = start.filter("f <> n").select("binary_id", F.col("n").alias("target"), F.col("f").alias("addr"), bit(1).alias("b")).groupBy(*key).agg(F.bit_or("b").bitwiseOR(F.lit(1)).alias("state"))
+    since = F.col("state").bitwiseAND(F.lit(255))
     for d in range(2, degrees + 1):
-        step = known.filter(F.col("since") == d - 1).select("binary_id", "target", F.col("addr").alias("n")).join(nb, ["binary_id", "n"]).filter("f <> target")
-        step = step.select("binary_id", "target", F.col("f").alias("addr"), "role", (F.col("n") <= F.col("f")).alias("up"))
-        none = {"since": "int"} | dict.fromkeys(roles, "int")
-        step = step.select("*", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
-        rows = step.unionByName(known.select(*key, *none, F.lit(None).cast("string").alias("role"), F.lit(None).cast("boolean").alias("up")))
-        met = [F.coalesce(F.bool_or(F.when(F.col("role") == r, F.col("up") if up else F.lit(True))), F.lit(False)).alias(f"{r}_{up}") for r in roles for up in (0, 1)]
-        rows = rows.groupBy(*key).agg(F.min("since").alias("since"), *[F.min(r).alias(r) for r in roles], *met)
-        taken = {r: F.when(F.col("since").isNull(), F.col(f"{r}_0")).when(F.col("since") == d - 1, F.col(f"{r}_1")).otherwise(False) for r in roles}
-        found = F.when(taken[roles[0]] | taken[roles[1]], F.lit(d))
-        known = rows.select(*key, F.coalesce("since", found).alias("since"), *[F.coalesce(r, F.when(taken[r], F.lit(d))).alias(r) for r in roles])
-    each = F.filter(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("degree")) for r in roles]), lambda x: x["degree"].isNotNull())
-    return known.select(*key, F.explode(each).alias("x")).select(*key, "x.role", "x.degree")
+        step = known.filter(since == d - 1).select("binary_id", "target", F.col("addr").alias("n")).join(nb, ["binary_id", "n"]).filter("f <> target")
+        # bits of a step: 1 and 2 by role where it goes up, 4 and 8 where it does not
+        way = F.when(F.col("role") == ROLES[0], 1).otherwise(2) * F.when(F.col("n") <= F.col("f"), 1).otherwise(4)
+        rows = step.select("binary_id", "target", F.col("f").alias("addr"), way.alias("way"), F.lit(None).cast("int").alias("state"))
+        rows = rows.unionByName(known.select(*key, F.lit(0).alias("way"), "state")).groupBy(*key).agg(F.bit_or("way").alias("way"), F.max("state").alias("state"))
+        taken = F.when(F.col("state").isNull(), F.col("way").bitwiseOR(F.shiftright("way", 2))).when(since == d - 1, F.col("way")).otherwise(0).bitwiseAND(F.lit(3))
+        rows = rows.select(*key, F.coalesce("state", F.lit(0)).alias("state"), taken.alias("taken"))
+        now = F.col("state") + F.when((since == 0) & (F.col("taken") > 0), d).otherwise(0)
+        for i, r in enumerate(ROLES):
+            now = now + F.when(_degree(r).isNull() & (F.col("taken").bitwiseAND(F.lit(1 << i)) > 0), d << 8 * (1 + i)).otherwise(0)
+        known = rows.select(*key, now.alias("state"))
+    return known.select(*key, *[_degree(r).alias(r) for r in ROLES])
+
+
+def neighbours(edges: DataFrame, degrees: int = fixed.DEGREES, targets: DataFrame | None = None, corrected: bool = False) -> DataFrame:
+    """``binary_id, target, addr, role, degree``: :func:`hops`, a row a role."""
+    each = F.filter(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("degree")) for r in ROLES]), lambda x: x["degree"].isNotNull())
+    return hops(edges, degrees, targets, corrected).select("binary_id", "target", "addr", F.explode(each).alias("x")).select("binary_id", "target", "addr", "x.role", "x.degree")
 
 
 def first_roles(found: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import fixed
+from ..plans.store import small, stored
 from . import callgraph
 
 
@@ -22,10 +23,13 @@ def candidates(functions: DataFrame, edges: DataFrame, degrees: int = fixed.DEGR
     """``binary_id, target, addr, role, degree, name, token_count, is_leaf, n_callees, calls_target, score`` for each target's
     user-like neighbours. ``functions`` carries ``token_count``, counted for nothing that the filter drops only if the
     caller counts lazily."""
-    found = callgraph.first_roles(callgraph.neighbours(edges, degrees, targets, corrected))
-    kept = callgraph.user_like(found, functions).select("binary_id", "target", "addr", "role", "degree", "name", "token_count")
-    kept = kept.join(callgraph.leaf_flags(functions, edges), ["binary_id", "addr"]).join(callgraph.callee_counts(functions, edges), ["binary_id", "addr"])
-    kept = callgraph.calls_target(kept, edges)
+    facts = functions.join(callgraph.leaf_flags(functions, edges), ["binary_id", "addr"]).join(callgraph.callee_counts(functions, edges), ["binary_id", "addr"])
+    facts = small(stored(facts, "functions"), 500_000)
+    first = F.coalesce("caller", "callee").alias("degree")
+    # who steps into the target itself calls it
+    into = "caller" if corrected else "callee"
+    found = callgraph.hops(edges, degrees, targets, corrected).select("binary_id", "target", "addr", F.when(F.col("caller").isNotNull(), "caller").otherwise("callee").alias("role"), first, F.coalesce(F.col(into) == 1, F.lit(False)).alias("calls_target"))
+    kept = callgraph.user_like(found, facts).select("binary_id", "target", "addr", "role", "degree", "name", "token_count", "is_leaf", "n_callees", "calls_target")
     return kept.withColumn("score", score(F.col("calls_target"), F.col("n_callees"), F.col("degree"), F.col("token_count")))
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,3 +36,9 @@ def dropped(df: DataFrame) -> None:
     """Delete a table that :func:`stored` wrote and that nothing reads any more."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Mark a stored table of short rows for broadcast if it has at most ``rows`` rows; else leave its joins to shuffles and adaptive
+    skew handling."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
