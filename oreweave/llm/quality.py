@@ -73,9 +73,9 @@ def rate_quality(docs: DataFrame, host: str = "source", least_docs: int = 50, mo
     line = lambda x: F.xxhash64(normal_line(x))
     lines = F.transform(F.filter(lines_of(F.col("text")), worded), lambda x: let(normal_line(x), lambda y: F.struct(F.xxhash64(y).alias("line"), F.size(F.split(y, " ")).alias("words"))))
     # a text's lines once, with the number of documents that have it
-    texts = read.select("host", "doc_id", text_hash(F.col("text")).alias("t"), lines.alias("lines")).filter(F.size("lines") > 0)
-    ids = texts.groupBy("host", "t", "doc_id").agg(F.lit(1).alias("one")).groupBy("host", "t").agg(F.count("*").alias("docs"))
-    texts = texts.groupBy("host", "t").agg(F.first("lines").alias("lines"))
+    full = read.filter(worded(F.col("text"))).withColumn("t", text_hash(F.col("text")))
+    ids = full.select("host", "t", "doc_id").distinct().groupBy("host", "t").agg(F.count("*").alias("docs"))
+    texts = full.select("host", "t", lines.alias("lines")).groupBy("host", "t").agg(F.first("lines").alias("lines"))
     texts = stored(texts.alias("x").join(ids.alias("y"), F.col("x.host").eqNullSafe(F.col("y.host")) & (F.col("x.t") == F.col("y.t"))).select("x.host", "x.t", "lines", "docs"), "quality-lines")
     per_host = texts.groupBy("host").agg(F.sum("docs").alias("docs"))
     found = texts.select("host", "docs", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).groupBy("host", "line").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_docs)
