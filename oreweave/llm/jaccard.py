@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, small, stored, text_hash
@@ -77,6 +77,14 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(x)))
 
 
+def _short_runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_runs`, those of over 255 in several, with lengths of one byte."""
+    start, n = _runs(x)
+    parts = -(-n // 255)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.repeat(start, parts) + 255 * nth, np.minimum(255, np.repeat(n, parts) - 255 * nth).astype(np.uint8)
+
+
 class Csr:
     """Rows of numbers; ``find``: how many of its numbers each row shares with a given one."""
 
@@ -136,21 +144,26 @@ def region_join(rows: list[np.ndarray], n: np.ndarray, near: int = 75) -> np.nda
         ball[i] = np.union1d(mine, [i])
         close = both[met] >= (1 - 3 * eps - slack) * union  # farther ones are in no window
         shares[i] = (met[close], both[met[close]] / union[close])
-    # balls of pivots at a distance of 0.75 at most, through the boundary windows
-    for i in pivots:
+    # balls of pivots at a distance of 0.75 at most, through the boundary windows; pivots themselves were held against all
+    inner = {i: x[x != i] for i, x in ball.items() if len(x) > 1}
+    has = np.zeros(len(rows), bool)
+    has[list(inner)] = True
+
+    def near_to(i: int, docs: np.ndarray) -> np.ndarray:
+        """Those of ``docs`` in the window around pivot i."""
         met, sim = shares[i]
-        for j in [x for x in met.tolist() if x in ball and x > i]:
+        at = np.minimum(np.searchsorted(met, docs), max(0, len(met) - 1))
+        return docs[(met[at] == docs) & (1 - sim[at] <= 2 * eps + slack)] if len(met) else docs[:0]
+
+    for i in inner:
+        met = shares[i][0]
+        for j in met[has[met] & (met > i)].tolist():
             if top(i) == top(j):
                 continue
-            far = np.ones(len(rows))
-            far[met] = 1 - sim
-            met_j, sim_j = shares[j]
-            far_j = np.ones(len(rows))
-            far_j[met_j] = 1 - sim_j
-            a, b = ball[i][far_j[ball[i]] <= 2 * eps + slack], ball[j][far[ball[j]] <= 2 * eps + slack]
+            a, b = near_to(j, inner[i]), near_to(i, inner[j])
             if len(a) > len(b):
                 a, b = b, a
-            for x in a.tolist():
+            for x in a.tolist() if len(b) else ():
                 both = csr.find(rows[x])[b]
                 hit = b[100 * both >= near * (n[x] + n[b] - both)]
                 if len(hit):
@@ -175,9 +188,9 @@ class Summary:
         self.values, self.counts = v, c
 
 
-def hot_members(texts: DataFrame, k: int, n_bytes: int, bound: int, size: int = 1_000_000) -> np.ndarray:
+def hot_members(texts: DataFrame, k: int, n_bytes: int, bound: int, size: int = 500_000) -> np.ndarray:
     """Sorted members that stand in ``bound`` texts, all of them, and some of at least an eighth of that; at most ``16 x members / bound``
-    values. Counts come from a summary a task, so they are too small by a millionth of all members at most."""
+    values. Counts come from a summary a task, so they are too small by two millionths of all members at most."""
 
     def summed(batches):
         found, seen, waiting = Summary(size), 0, []
@@ -185,7 +198,7 @@ def hot_members(texts: DataFrame, k: int, n_bytes: int, bound: int, size: int =
             for _, _, p in slices(b.column("text"), lower=True):
                 seen += len(p.data)
                 waiting.append(sets_of(p, k)[1])
-                if sum(map(len, waiting)) > 4 * size:
+                if sum(map(len, waiting)) > 2 * size:
                     found.add(np.concatenate(waiting))
                     waiting.clear()
         if waiting:
@@ -212,7 +225,7 @@ def sets_table(docs: DataFrame, k: int, near: int, bucket_words: int, hot: int,
     chars, n_texts = docs.agg(F.sum(F.octet_length("text")), F.count("text")).first()
     chars = chars or 0
     n_buckets = max(1, int(chars / 6 / bucket_words) + 1)
-    bound = max(hot, int(chars / 6 / 250_000))
+    bound = max(hot, int(chars / 6 / 125_000))
     frequent = hot_members(keyed, k, chars, bound) if n_texts > bound else np.zeros(0, np.uint64)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent)
     pack_kind = "bucket int, kind int, payload binary"
@@ -246,8 +259,8 @@ def sets_table(docs: DataFrame, k: int, near: int, bucket_words: int, hot: int,
                 bucket, doc, grams = bucket[order], doc[order], grams[order]
                 for s, m in zip(*_runs(bucket), strict=True):
                     own = doc[s : s + m]
-                    first, times = _runs(own)
-                    head = np.int64(len(first)).tobytes() + t[own[first]].astype("<i8").tobytes() + times.astype("<u4").tobytes()
+                    first, times = _short_runs(own)
+                    head = np.int64(len(first)).tobytes() + t[own[first]].astype("<i8").tobytes() + times.tobytes()
                     rows.append((int(bucket[s]), 0, head + _five(grams[s : s + m]).tobytes()))
                 yield batch(rows)
 
@@ -262,9 +275,9 @@ def sets_table(docs: DataFrame, k: int, near: int, bucket_words: int, hot: int,
                     continue
                 m = int(np.frombuffer(raw, "<i8", 1)[0])
                 t = np.frombuffer(raw, "<i8", m, 8)
-                times = np.frombuffer(raw, "<u4", m, 8 + 8 * m)
+                times = np.frombuffer(raw, np.uint8, m, 8 + 8 * m)
                 ts.append(np.repeat(t, times))
-                hs.append(_eight(np.frombuffer(raw, np.uint8, offset=8 + 12 * m)))
+                hs.append(_eight(np.frombuffer(raw, np.uint8, offset=8 + 9 * m)))
         if hs:
             t, h = np.concatenate(ts), np.concatenate(hs)
             ts.clear(), hs.clear()
@@ -281,8 +294,8 @@ def sets_table(docs: DataFrame, k: int, near: int, bucket_words: int, hot: int,
             t, h, bits = t[order], h[order], bits[order]
             for s, m in zip(*_runs(t % n_buckets), strict=True):
                 own = t[s : s + m]
-                first, times = _runs(own)
-                head = np.array([len(first), key[0].as_py()], "<i8").tobytes() + own[first].astype("<i8").tobytes() + times.astype("<u4").tobytes()
+                first, times = _short_runs(own)
+                head = np.array([len(first), key[0].as_py()], "<i8").tobytes() + own[first].astype("<i8").tobytes() + times.tobytes()
                 out.append((int(own[0] % n_buckets), 0, head + bits[s : s + m].tobytes() + _five(h[s : s + m]).tobytes()))
         for s in range(0, len(out), 500):
             yield batch(out[s : s + 500])
@@ -302,11 +315,11 @@ def sets_table(docs: DataFrame, k: int, near: int, bucket_words: int, hot: int,
                     ts.append(x[0]), vs.append(x[1].view(np.uint64)), bs.append(np.full(x.shape[1], _HOT, np.uint8))
                     continue
                 m, bucket = np.frombuffer(raw, "<i8", 2)
-                times = np.frombuffer(raw, "<u4", m, 16 + 8 * m)
+                times = np.frombuffer(raw, np.uint8, m, 16 + 8 * m)
                 size = int(times.sum())
                 ts.append(np.repeat(np.frombuffer(raw, "<i8", m, 16), times))
-                bs.append(np.frombuffer(raw, np.uint8, size, 16 + 12 * m))
-                vs.append(_eight(np.frombuffer(raw, np.uint8, offset=16 + 12 * m + size)) | U(int(bucket) << 40))
+                bs.append(np.frombuffer(raw, np.uint8, size, 16 + 9 * m))
+                vs.append(_eight(np.frombuffer(raw, np.uint8, offset=16 + 9 * m + size)) | U(int(bucket) << 40))
         t0, at = np.unique(np.concatenate(t0), return_index=True)
         n0 = np.concatenate(n0)[at]
         common, members = np.zeros(len(t0), np.int64), [b""] * len(t0)
@@ -376,9 +389,11 @@ def pivot_round(big: DataFrame, number: int, near: int, most: int, most_members:
     """``cell, docs, held, t, n, members`` of large cells to the links that pivots find, ``cell, t`` of what no pivot covers, and the stored table both are read from."""
     eps, slack = 1 - near / 100, 1e-9
     fill = F.ceil(F.greatest(F.col("docs") / most, F.col("held") / most_members)).cast("int")
-    draw = F.pmod(F.xxhash64("t", F.lit(number)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # about so many of each cell, by a hash; none of so many members that a part would not hold them
-    drawn = big.filter((draw < pivots / F.col("docs")) & (F.octet_length("members") <= 8 * most_members // pivots))
+    draw = F.xxhash64("t", F.lit(number))
+    # half are texts with the largest share of common members, as near the middle of a crowd as any, half any; none of so many members that a part would not hold them
+    fit = big.filter(F.octet_length("members") <= 8 * most_members // pivots).withColumn("share", F.octet_length("members") / F.col("n"))
+    best = lambda *order: fit.withColumn("place", F.row_number().over(Window.partitionBy("cell").orderBy(*order))).filter(F.col("place") <= pivots // 2).drop("place")
+    drawn = best(F.desc("share"), draw, "t").unionByName(best(draw, "t")).dropDuplicates(["cell", "t"])
     dealt = drawn.select("cell", F.explode(F.sequence(F.lit(0), fill - 1)).alias("part"), F.lit(0).alias("kind"), "t", "n", "members")
     rows = dealt.unionByName(big.select("cell", F.pmod(F.xxhash64("t", "cell"), fill).cast("int").alias("part"), F.lit(1).alias("kind"), "t", "n", "members"))
 
@@ -450,11 +465,10 @@ def part_links(cells: DataFrame, near: int, most: int, most_members: int, every:
     return tasks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(joined, "a long, b long")
 
 
-def _sized(cells: DataFrame, alive: DataFrame) -> DataFrame:
-    """``cell, t`` with the sets, and the cell's numbers of documents and members."""
-    full = cells.join(alive.select("t", "n", "common", "members"), "t")
+def _placed(cells: DataFrame, alive: DataFrame) -> DataFrame:
+    """``cell, t`` with the cell's numbers of documents and members, stored: three numbers a text, its set stays where it is."""
     sizes = cells.join(alive.select("t", "common"), "t").groupBy("cell").agg(F.count("*").alias("docs"), F.sum("common").alias("held"))
-    return full.join(sizes, "cell").select("cell", "docs", "held", "t", "n", "members")
+    return stored(cells.join(sizes, "cell").select("cell", "t", "docs", "held"), "placed")
 
 
 def set_links(sets: DataFrame, near: int, most: int, most_members: int, every: bool = False) -> tuple[DataFrame, bool]:
@@ -471,29 +485,25 @@ def set_links(sets: DataFrame, near: int, most: int, most_members: int, every: b
     least = first.groupBy("v").agg(F.min("t").alias("m"), F.count("*").alias("c")).filter("c > 1").select("v", "m")
     region = stored(components(first.join(least, "v").select(F.col("t").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()), "regions")
     large = (F.col("docs") > most) | (F.col("held") > most_members)
-    cells = region.select(F.col("root").alias("cell"), F.col("node").alias("t"))
-    sized = _sized(cells, alive)
-    links = part_links(sized if every else sized.filter(~large), near, most, most_members, every)
-    big, number, found, held = sized.filter(large), 0, [], [first, region]
-    while not every:
-        big = stored(big, "large")
-        held.append(big)
-        if big.isEmpty():
-            break
+    placed = _placed(region.select(F.col("root").alias("cell"), F.col("node").alias("t")), alive)
+    full = lambda which: placed.filter(which).join(alive.select("t", "n", "members"), "t").select("cell", "docs", "held", "t", "n", "members")
+    links = part_links(full(F.lit(True) if every else ~large), near, most, most_members, every)
+    number, found, held = 0, [], [first, region, placed]
+    while not every and not placed.filter(large).isEmpty():
         if number == 5:
-            found.append(part_links(big, near, most, most_members, False))
+            found.append(part_links(full(large), near, most, most_members, False))
             break
         if number == 2:  # texts that link share a first member
-            here = big.select("t").distinct()
-            again = first.join(here, "t").select("t", "v")
+            again = first.join(placed.filter(large).select("t").distinct(), "t").select("t", "v")
             cells = again.join(again.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1").select("v"), "v").select(F.col("v").alias("cell"), "t")
         else:
+            big = stored(full(large), "large")
             crossed, cells, balls = pivot_round(big, number, near, most, most_members)
             found.append(crossed)
-            held.append(balls)
-        sized, number = _sized(cells, alive), number + 1
-        found.append(part_links(sized.filter(~large), near, most, most_members, False))
-        big = sized.filter(large)
+            held += [big, balls]
+        placed, number = _placed(cells, alive), number + 1
+        held.append(placed)
+        found.append(part_links(full(~large), near, most, most_members, False))
     for f in found:
         links = links.unionByName(f)
     links = stored(links, "links")
@@ -511,7 +521,10 @@ def link_sets(docs: DataFrame, k: int = 5, near: int = 75, bucket_words: int = 2
         found = links.select(F.col("a").alias("t"), F.col("b").alias("comp"))
     else:  # links of different tasks of a region may share texts
         found = components(links).select(F.col("node").alias("t"), F.col("root").alias("comp"))
-    return sets.select("t", "n").join(found, "t", "left").select("t", "n", F.coalesce("comp", "t").alias("comp"))
+    out = stored(sets.select("t", "n").join(found, "t", "left").select("t", "n", F.coalesce("comp", "t").alias("comp")), "linked")
+    for table in (sets, links):
+        dropped(table)
+    return out
 
 
 def link_pairs(docs: DataFrame, k: int = 5, near: int = 75, bucket_words: int = 2_000_000, most: int = 5_000, most_members: int = 2_000_000, hot: int = 50_000, copies: int = 32) -> DataFrame:
@@ -523,8 +536,9 @@ def link_pairs(docs: DataFrame, k: int = 5, near: int = 75, bucket_words: int =
 
 def near_duplicates(docs: DataFrame, k: int = 5, near: int = 75, **limits: int) -> DataFrame:
     """``doc_id, text`` to ``doc_id, n_shingles, component_id``, and ``t, comp`` by which rows of equal text and set can be told."""
-    linked = stored(link_sets(docs, k, near, **limits), "linked")
+    linked = link_sets(docs, k, near, **limits)
     ids = docs.select("doc_id", text_hash(F.col("text")).alias("t")).join(linked, "t")
     ids = stored(ids.select("doc_id", "t", F.col("n").cast("long").alias("n_shingles"), "comp"), "members")
+    dropped(linked)
     least = ids.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return ids.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "t", "comp")
