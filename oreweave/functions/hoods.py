@@ -173,6 +173,13 @@ def neighbours(block: Block) -> Iterator[dict]:
         yield {"target": block.addr[ts[row]], "addr": block.addr[node], **none}
 
 
+def by_role(block: Block) -> Iterator[dict]:
+    for ts, row, node, degree in block.around():
+        for calls, d in zip((True, False), degree, strict=True):
+            has = np.flatnonzero(d)
+            yield {"target": block.addr[ts[row[has]]], "addr": block.addr[node[has]], "calls": np.full(len(has), calls), "degree": d[has].astype(np.int32)}
+
+
 def counts(block: Block) -> Iterator[dict]:
     for ts, row, _, degree in block.around():
         n = [np.bincount(row[d > 0], minlength=len(ts)) for d in degree]

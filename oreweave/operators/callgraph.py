@@ -95,8 +95,8 @@ def hops(edges: DataFrame, degrees: int = fixed.DEGREES, targets: DataFrame | No
 
 def neighbours(edges: DataFrame, degrees: int = fixed.DEGREES, targets: DataFrame | None = None, corrected: bool = False) -> DataFrame:
     """``binary_id, target, addr, role, degree``: :func:`hops`, a row a role."""
-    each = F.filter(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("degree")) for r in ROLES]), lambda x: x["degree"].isNotNull())
-    return hops(edges, degrees, targets, corrected).select("binary_id", "target", "addr", F.explode(each).alias("x")).select("binary_id", "target", "addr", "x.role", "x.degree")
+    rows = search(lists(edges), hoods.by_role, "addr bigint, calls boolean, degree int", degrees, targets, corrected)
+    return rows.select("binary_id", "target", "addr", F.when(F.col("calls"), ROLES[0]).otherwise(ROLES[1]).alias("role"), "degree")
 
 
 def nearest(hopped: DataFrame) -> DataFrame:

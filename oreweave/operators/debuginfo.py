@@ -5,48 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import dies as entries
 from ..plans import fixed
 
-_NAMED = ("DW_TAG_structure_type", "DW_TAG_union_type", "DW_TAG_enumeration_type")
+#: Entries that are one Arrow group's work, but for larger objects.
+GROUP_ROWS = 200_000
+
+
+def _by_objects(dies: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
+    """Entries of an object meet in one shuffle, some objects at once; what refers to what is looked up there."""
+    dies = dies.select(*columns)
+    groups = max(1, -(-dies.count() // GROUP_ROWS))
+    return dies.withColumn("_group", F.pmod(F.xxhash64("o_path"), F.lit(groups))).groupBy("_group").applyInArrow(make, schema)
 
 
 def type_names(dies: DataFrame, depth: int = fixed.MAX_TYPE_DEPTH) -> DataFrame:
-    """``o_path, die_off, type_name`` of every entry.
-
-    Names are built from the inside: after round d each entry has the name it has as seen with d steps left, and a
-    reference one step too deep is unknown. ``depth`` rounds of one equi-join on the reference.
-    """
-    tag, name, inner = F.col("tag"), F.col("name"), F.col("inner")
-    prefix = F.when(tag == "DW_TAG_const_type", "const ").when(tag == "DW_TAG_volatile_type", "volatile ").otherwise("")
-    wraps = ("DW_TAG_pointer_type", "DW_TAG_const_type", "DW_TAG_volatile_type", "DW_TAG_restrict_type")
-    own = (
-        F.when(tag == "DW_TAG_base_type", F.coalesce(name, F.lit("UNKNOWN_BASE")))
-        .when(tag == "DW_TAG_typedef", F.coalesce(name, F.lit("typedef_anon")))
-        .when(tag.isin(*_NAMED), F.concat(F.replace(tag, F.lit("DW_TAG_"), F.lit("")), F.lit(" "), F.coalesce(name, F.lit("/*anon*/"))))
-        .otherwise(F.coalesce(name, F.lit("UNKNOWN_TYPE")))
-    )
-    wrapped = F.when(tag == "DW_TAG_pointer_type", F.concat(F.when(F.col("type_off").isNull(), "void").otherwise(inner), F.lit(" *"))).otherwise(F.concat(prefix, F.when(F.col("type_off").isNull(), "UNKNOWN_TYPE").otherwise(inner)))
-    plain = dies.filter(~tag.isin(*wraps)).select("o_path", "die_off", own.alias("type_name"))
-    chain = dies.filter(tag.isin(*wraps)).select("o_path", "die_off", "tag", "name", "type_off")
-    known = plain.unionByName(chain.withColumn("inner", F.lit("UNKNOWN_TYPE")).select("o_path", "die_off", wrapped.alias("type_name")))
-    for _ in range(depth):
-        target = known.select("o_path", F.col("die_off").alias("type_off"), F.col("type_name").alias("_inner"))
-        named = chain.join(target, ["o_path", "type_off"], "left").withColumn("inner", F.coalesce("_inner", F.lit("UNKNOWN_TYPE")))
-        known = plain.unionByName(named.select("o_path", "die_off", wrapped.alias("type_name")))
-    return known
+    """``o_path, die_off, type_name`` of every entry; a reference more than ``depth`` steps deep is unknown."""
+    return _by_objects(dies, ["o_path", "die_off", "tag", "name", "type_off"], lambda rows: entries.names(rows, depth), "o_path string, die_off bigint, type_name string")
 
 
 def signatures(dies: DataFrame) -> DataFrame:
     """``o_path, ord, func_name, signature_hint`` of top-level functions (``parent_off`` of a unit) that have a name."""
-    names = type_names(dies).select("o_path", F.col("die_off").alias("type_off"), "type_name")
-    typed = dies.join(names, ["o_path", "type_off"], "left")
-    kind = F.when(F.col("type_off").isNull(), F.lit(None)).otherwise(F.coalesce("type_name", F.lit("UNKNOWN_TYPE")))
-    params = typed.filter("tag = 'DW_TAG_formal_parameter'").select("o_path", F.col("parent_off").alias("die_off"), "ord", F.concat_ws(" ", F.coalesce(kind, F.lit("UNKNOWN_TYPE")), F.coalesce("name", F.lit("param"))).alias("p"))
-    params = params.groupBy("o_path", "die_off").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "p"))), lambda x: x["p"]), ", ").alias("params"))
-    units = dies.filter("tag = 'DW_TAG_compile_unit'").select("o_path", F.col("die_off").alias("parent_off"))
-    funcs = typed.filter("tag = 'DW_TAG_subprogram' and name is not null").join(units, ["o_path", "parent_off"], "left_semi").join(params, ["o_path", "die_off"], "left")
-    text = F.concat(F.coalesce(kind, F.lit("void")), F.lit(" "), F.col("name"), F.lit("("), F.coalesce("params", F.lit("void")), F.lit(");"))
-    return funcs.select("o_path", "ord", F.col("name").alias("func_name"), text.alias("signature_hint"))
+    return _by_objects(dies, ["o_path", "die_off", "parent_off", "ord", "tag", "name", "type_off"], lambda rows: entries.signatures(rows), "o_path string, ord int, func_name string, signature_hint string")
 
 
 def lookup(signed: DataFrame) -> DataFrame:
