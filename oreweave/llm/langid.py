@@ -28,6 +28,8 @@ from .subword import Adam, all_words, distinct_words, ngrams, segment_sums
 SIZES = (1, 2, 3, 4)
 #: Words of a text worked on in step; longer texts are that many blocks.
 BLOCK = 32
+#: Bytes of text whose words are held at once; those of larger slices took two workers of an executor over its memory.
+BYTES = SLICE // 4
 
 
 @dataclass
@@ -211,7 +213,7 @@ def identify(docs: DataFrame, most: int = 150) -> DataFrame:
             best, score = np.full(n, len(f.languages)), np.zeros(n)
             if f.languages:
                 # a block holds a square of the languages: the more of them, the smaller the slices
-                limit = SLICE * 64**2 // max(64, len(f.languages)) ** 2
+                limit = BYTES * 64**2 // max(64, len(f.languages)) ** 2
                 for i, j, p in slices(b.column("text"), limit=limit, lower=True):
                     if len(p.doc):
                         shares = f.shares(p)
