@@ -1,13 +1,15 @@
 """Searches by blocks of targets against the operators on rows."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 from test_operators import plain_hops
 
-from oreweave import queries
+from oreweave import adapters, queries
 from oreweave.operators import callgraph, selection
+from oreweave.plans import store
 
 
 def graph(spark, seed=5):
@@ -64,3 +66,23 @@ def test_pairs_are_not_shuffled(spark, sf_dir, name):
     plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("FlatMapGroupsInArrow")]
     assert "Exchange" not in above and "Join" not in above
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    files = lambda: {f for f in (x.getName() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles())) if f.endswith(".data")}
+    df = spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).agg(F.collect_list("id").alias("ids"))
+    before = files()
+    kept = store.stored(df, "test")
+    deadline = time.time() + 20
+    while files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not files() - before and kept.count() == 5000 and df.count() == 5000
+    assert spark.conf.get(store.CLEANUP) == "false"
+
+
+def test_edges_need_no_further_order(spark, sf_dir):
+    read = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    want = read.selectExpr("l_partkey as src", f"{adapters.EDGE_STEP} as dst").filter("dst is not null")
+    got = adapters.edges(spark, sf_dir)
+    assert not any("l_extendedprice" in x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation" not in x)
+    assert sorted(map(tuple, got.select("src", "dst").collect())) == sorted(map(tuple, want.collect()))
