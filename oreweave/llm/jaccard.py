@@ -218,13 +218,18 @@ def one_of_many(keyed: DataFrame, copies: int) -> DataFrame:
     return marked.filter("many is null").select("text", "t").unionByName(once.select("text", "t"))
 
 
-def sets_table(docs: DataFrame, k: int, near: int, bucket_words: int, hot: int, copies: int) -> DataFrame:
+def sets_table(docs: DataFrame, k: int, near: int, bucket_words: int, hot: int, copies: int, together: int = 4) -> DataFrame:
     """``t, n, must, common, members`` of each distinct text: size of its set, how many of its common members must be looked at, and these
-    in order of frequency; 0 and null where too little is common."""
+    in order of frequency; 0 and null where too little is common.
+
+    Members are dealt to buckets of ``together`` times ``bucket_words`` words and counted there in passes of half of ``bucket_words`` each: a
+    text's head in a bucket is nine bytes, so a text should have several members in each.
+    """
     keyed = one_of_many(docs.select("text", text_hash(F.col("text")).alias("t")), copies)
     chars, n_texts = docs.agg(F.sum(F.octet_length("text")), F.count("text")).first()
     chars = chars or 0
-    n_buckets = max(1, int(chars / 6 / bucket_words) + 1)
+    n_homes = max(1, int(chars / 6 / bucket_words) + 1)
+    n_buckets, passes = -(-n_homes // together), 2 * together
     bound = max(hot, int(chars / 6 / 125_000))
     frequent = hot_members(keyed, k, chars, bound) if n_texts > bound else np.zeros(0, np.uint64)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -244,14 +249,14 @@ def sets_table(docs: DataFrame, k: int, near: int, bucket_words: int, hot: int,
                 n = np.bincount(doc, minlength=j - i)
                 doc, grams = doc[fresh[doc]], grams[fresh[doc]]
                 rows = []
-                home = (t % n_buckets)[fresh]
+                home = (t % n_homes)[fresh]
                 for x in np.unique(home).tolist():
                     own = np.flatnonzero(fresh)[home == x]
                     rows.append((x, 1, np.stack([t[own], n[own]]).astype("<i8").tobytes()))
                 bucket = ((grams >> U(40)) % U(n_buckets)).astype(np.int64)
                 if len(known):
                     often = known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] == grams
-                    of, v, at = t[doc[often]], grams[often] & _LOW | bucket[often].astype(np.uint64) << U(40), (t % n_buckets)[doc[often]]
+                    of, v, at = t[doc[often]], grams[often] & _LOW | bucket[often].astype(np.uint64) << U(40), (t % n_homes)[doc[often]]
                     for x in np.unique(at).tolist():
                         rows.append((x, 2, np.stack([of[at == x], v[at == x].view(np.int64)]).astype("<i8").tobytes()))
                     bucket, doc, grams = bucket[~often], doc[~often], grams[~often]
@@ -266,7 +271,7 @@ def sets_table(docs: DataFrame, k: int, near: int, bucket_words: int, hot: int,
 
     def count(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of a bucket: each text's members that other texts have, with the bits of their number, by bucket of the text."""
-        ts, hs, out = [], [], []
+        packs, out = [], []
         for b in tables:
             for kind, payload in zip(b.column("kind").to_pylist(), b.column("payload"), strict=True):
                 raw = payload.as_buffer()
@@ -274,11 +279,31 @@ def sets_table(docs: DataFrame, k: int, near: int, bucket_words: int, hot: int,
                     out.append((key[0].as_py(), kind, raw.to_pybytes()))
                     continue
                 m = int(np.frombuffer(raw, "<i8", 1)[0])
-                t = np.frombuffer(raw, "<i8", m, 8)
-                times = np.frombuffer(raw, np.uint8, m, 8 + 8 * m)
-                ts.append(np.repeat(t, times))
-                hs.append(_eight(np.frombuffer(raw, np.uint8, offset=8 + 9 * m)))
-        if hs:
+                packs.append((np.frombuffer(raw, "<i8", m, 8), np.frombuffer(raw, np.uint8, m, 8 + 8 * m), np.frombuffer(raw, np.uint8, offset=8 + 9 * m).reshape(-1, 5)))
+        for i in range(0, len(out), 500):
+            yield batch(out[i : i + 500])
+
+        def sent() -> list[tuple[int, int, bytes]]:
+            t, five, bits = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
+            order = np.lexsort((t, t % n_homes))
+            t, five, bits = t[order], five[order], bits[order]
+            rows = []
+            for s, m in zip(*_runs(t % n_homes), strict=True):
+                own = t[s : s + m]
+                first, times = _short_runs(own)
+                head = np.array([len(first), key[0].as_py()], "<i8").tobytes() + own[first].astype("<i8").tobytes() + times.tobytes()
+                rows.append((int(own[0] % n_homes), 0, head + bits[s : s + m].tobytes() + five[s : s + m].tobytes()))
+            return rows
+
+        # by a range of the members' highest byte at a time; what is common waits for as many as a text's head pays for
+        found = []
+        for i in range(passes if packs else 0):
+            ts, hs = [], []
+            for t, times, five in packs:
+                own = np.flatnonzero(five[:, 4].astype(np.int64) * passes >> 8 == i)
+                ts.append(np.repeat(t, times)[own])
+                hs.append(_eight(five[own].ravel()))
             t, h = np.concatenate(ts), np.concatenate(hs)
             ts.clear(), hs.clear()
             order = np.lexsort((t, h))
@@ -289,16 +314,11 @@ def sets_table(docs: DataFrame, k: int, near: int, bucket_words: int, hot: int,
             start, df = _runs(h)
             df = np.repeat(df, df)
             t, h, df = t[df > 1], h[df > 1], df[df > 1]
-            bits = np.minimum(_HOT - 1, np.frexp(df)[1]).astype(np.uint8)
-            order = np.lexsort((t, t % n_buckets))
-            t, h, bits = t[order], h[order], bits[order]
-            for s, m in zip(*_runs(t % n_buckets), strict=True):
-                own = t[s : s + m]
-                first, times = _short_runs(own)
-                head = np.array([len(first), key[0].as_py()], "<i8").tobytes() + own[first].astype("<i8").tobytes() + times.tobytes()
-                out.append((int(own[0] % n_buckets), 0, head + bits[s : s + m].tobytes() + _five(h[s : s + m]).tobytes()))
-        for s in range(0, len(out), 500):
-            yield batch(out[s : s + 500])
+            found.append((t, _five(h), np.minimum(_HOT - 1, np.frexp(df)[1]).astype(np.uint8)))
+            if i == passes - 1 or sum(len(x) for x, _, _ in found) > bucket_words:
+                rows = sent()
+                for j in range(0, len(rows), 500):
+                    yield batch(rows[j : j + 500])
 
     def gather(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of the texts of a bucket: size, and where enough of the set is common, its common members in order and how many of these must meet."""
@@ -344,8 +364,8 @@ def sets_table(docs: DataFrame, k: int, near: int, bucket_words: int, hot: int,
             yield pa.RecordBatch.from_arrays([pa.array(t0[z]), pa.array(n0[z].astype(np.int32)), pa.array(must[z].astype(np.int32)), pa.array(common[z].astype(np.int32)), pa.array([m or None for m in members[z]], pa.binary())], ["t", "n", "must", "common", "members"])
 
     dealt = keyed.mapInArrow(deal, pack_kind)
-    counted = dealt.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(count, pack_kind)
-    return stored(counted.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(gather, "t long, n int, must int, common int, members binary"), "sets")
+    counted = dealt.repartition(n_homes, "bucket").groupBy("bucket").applyInArrow(count, pack_kind)
+    return stored(counted.repartition(n_homes, "bucket").groupBy("bucket").applyInArrow(gather, "t long, n int, must int, common int, members binary"), "sets")
 
 
 def _groups(batches, key: tuple[str, ...], rest: tuple[str, ...]):

@@ -134,6 +134,22 @@ def chain(rng, n, length=60):
     return rows
 
 
+def test_heads_of_texts_are_fewer_than_members(spark, monkeypatch):
+    """Members are dealt to few buckets, however few words are counted at once, and sets stay the same."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 2 * 7 + j * (i // 2 + 1)) % 997}" for j in range(120))) for i in range(60)], "doc_id long, text string")
+    heads, real = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, *a: heads.append(out := real(self, f, schema, *a)) or out if schema.startswith("bucket") else real(self, f, schema, *a))
+    sets = jaccard.sets_table(docs, 5, 75, 200, 50_000, 32)
+    rows = [r["payload"] for r in heads[0].filter("kind = 0").collect()]
+    # eight bytes of a count, nine a head and five a member
+    n = sum(int.from_bytes(p[:8], "little") for p in rows)
+    members = sum((len(p) - 8 - 9 * int.from_bytes(p[:8], "little")) // 5 for p in rows)
+    assert members > 8 * n
+    want = jaccard.sets_table(docs, 5, 75, 2_000_000, 50_000, 32)
+    # the members' numbers hold that of their bucket, so sizes are held against each other
+    assert sorted(map(tuple, sets.select("t", "n", "must", "common").collect())) == sorted(map(tuple, want.select("t", "n", "must", "common").collect()))
+
+
 @pytest.mark.parametrize("limits", [{"most": 10}, {"most": 5, "hot": 20}, {"most_members": 2000}])
 def test_jaccard_of_large_regions(spark, limits):
     rows = chain(random.Random(11), 240)
