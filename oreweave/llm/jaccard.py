@@ -28,6 +28,7 @@ are passed over in the minimum. Similarities of just 0.75 link. An empty table g
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, small, stored, text_hash
 from .components import components
-from .packed import Packed, Rolling, slices
+from .packed import PART, SLICE, Packed, Rolling, slices, trim
 
 U = np.uint64
 _LOW = U((1 << 40) - 1)
@@ -60,6 +61,19 @@ def sets_of(p: Packed, k: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], grams[new]
 
 
+def sets_in_runs(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """:func:`sets_of` of runs of rows of about ``SLICE`` bytes, with the bounds of each. Made in smaller parts, as a text's arrays
+    take many times what its set does."""
+    held, at, size = [], 0, 0
+    for i, j, p in slices(column, PART, lower=True):
+        doc, grams = sets_of(p, k)
+        held.append((doc + (i - at), grams))
+        size += len(p.data)
+        if size > SLICE - PART or j == len(column):
+            yield at, j, *(np.concatenate(x) for x in zip(*held, strict=True))
+            held, at, size = [], j, 0
+
+
 def _five(x: np.ndarray) -> np.ndarray:
     """The low five bytes of each number."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
@@ -195,7 +209,7 @@ def hot_members(texts: DataFrame, k: int, n_bytes: int, bound: int, size: int =
     def summed(batches):
         found, seen, waiting = Summary(size), 0, []
         for b in batches:
-            for _, _, p in slices(b.column("text"), lower=True):
+            for _, _, p in slices(b.column("text"), PART, lower=True):
                 seen += len(p.data)
                 waiting.append(sets_of(p, k)[1])
                 if sum(map(len, waiting)) > 2 * size:
@@ -242,10 +256,9 @@ def sets_table(docs: DataFrame, k: int, near: int, bucket_words: int, hot: int,
         known = frequent.value
         for b in batches:
             ts = np.asarray(b.column("t"))
-            for i, j, p in slices(b.column("text"), lower=True):
+            for i, j, doc, grams in sets_in_runs(b.column("text"), k):
                 t, fresh = ts[i:j], np.zeros(j - i, bool)
                 fresh[np.unique(t, return_index=True)[1]] = True
-                doc, grams = sets_of(p, k)
                 n = np.bincount(doc, minlength=j - i)
                 doc, grams = doc[fresh[doc]], grams[fresh[doc]]
                 rows = []
@@ -268,6 +281,7 @@ def sets_table(docs: DataFrame, k: int, near: int, bucket_words: int, hot: int,
                     head = np.int64(len(first)).tobytes() + t[own[first]].astype("<i8").tobytes() + times.tobytes()
                     rows.append((int(bucket[s]), 0, head + _five(grams[s : s + m]).tobytes()))
                 yield batch(rows)
+        trim()
 
     def count(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of a bucket: each text's members that other texts have, with the bits of their number, by bucket of the text."""
@@ -283,18 +297,16 @@ def sets_table(docs: DataFrame, k: int, near: int, bucket_words: int, hot: int,
         for i in range(0, len(out), 500):
             yield batch(out[i : i + 500])
 
-        def sent() -> list[tuple[int, int, bytes]]:
+        def sent() -> Iterator[tuple[int, int, bytes]]:
             t, five, bits = (np.concatenate(x) for x in zip(*found, strict=True))
             found.clear()
             order = np.lexsort((t, t % n_homes))
-            t, five, bits = t[order], five[order], bits[order]
-            rows = []
+            t = t[order]
             for s, m in zip(*_runs(t % n_homes), strict=True):
-                own = t[s : s + m]
+                own, at = t[s : s + m], order[s : s + m]
                 first, times = _short_runs(own)
                 head = np.array([len(first), key[0].as_py()], "<i8").tobytes() + own[first].astype("<i8").tobytes() + times.tobytes()
-                rows.append((int(own[0] % n_homes), 0, head + bits[s : s + m].tobytes() + five[s : s + m].tobytes()))
-            return rows
+                yield int(own[0] % n_homes), 0, head + bits[at].tobytes() + five[at].tobytes()
 
         # by a range of the members' highest byte at a time; what is common waits for as many as a text's head pays for
         found = []
@@ -308,6 +320,7 @@ def sets_table(docs: DataFrame, k: int, near: int, bucket_words: int, hot: int,
             ts.clear(), hs.clear()
             order = np.lexsort((t, h))
             t, h = t[order], h[order]
+            del order
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
             t, h = t[new], h[new]
@@ -317,8 +330,10 @@ def sets_table(docs: DataFrame, k: int, near: int, bucket_words: int, hot: int,
             found.append((t, _five(h), np.minimum(_HOT - 1, np.frexp(df)[1]).astype(np.uint8)))
             if i == passes - 1 or sum(len(x) for x, _, _ in found) > bucket_words:
                 rows = sent()
-                for j in range(0, len(rows), 500):
-                    yield batch(rows[j : j + 500])
+                while some := list(islice(rows, 500)):
+                    yield batch(some)
+        packs.clear()
+        trim()
 
     def gather(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of the texts of a bucket: size, and where enough of the set is common, its common members in order and how many of these must meet."""
@@ -345,8 +360,10 @@ def sets_table(docs: DataFrame, k: int, near: int, bucket_words: int, hot: int,
         common, members = np.zeros(len(t0), np.int64), [b""] * len(t0)
         if ts:
             t, v, bits = np.concatenate(ts), np.concatenate(vs), np.concatenate(bs)
+            ts.clear(), vs.clear(), bs.clear()
             order = np.lexsort((v, bits, t))
             t, v = t[order], v[order]
+            del order, bits
             fresh = np.ones(len(t), bool)
             fresh[1:] = (t[1:] != t[:-1]) | (v[1:] != v[:-1])
             t, v = t[fresh], v[fresh]
@@ -357,11 +374,14 @@ def sets_table(docs: DataFrame, k: int, near: int, bucket_words: int, hot: int,
             for i, s, m in zip(at.tolist(), start.tolist(), times.tolist(), strict=True):
                 if alive[i]:
                     members[i] = v[s : s + m].tobytes()
+            del t, v, fresh
         alive = (100 * common >= near * n0) & (common > 0)
         must = np.where(alive, n0 - (near * n0 + 99) // 100 + 1 - (n0 - common), 0)
         for s in range(0, len(t0), 1000):
             z = slice(s, s + 1000)
             yield pa.RecordBatch.from_arrays([pa.array(t0[z]), pa.array(n0[z].astype(np.int32)), pa.array(must[z].astype(np.int32)), pa.array(common[z].astype(np.int32)), pa.array([m or None for m in members[z]], pa.binary())], ["t", "n", "must", "common", "members"])
+        members.clear()
+        trim()
 
     dealt = keyed.mapInArrow(deal, pack_kind)
     counted = dealt.repartition(n_homes, "bucket").groupBy("bucket").applyInArrow(count, pack_kind)
@@ -481,6 +501,7 @@ def part_links(cells: DataFrame, near: int, most: int, most_members: int, every:
     def joined(batches):
         for _, held in _groups(batches, ("cell", "i", "j"), ("t", "n", "members")):
             yield _links(cell_links(held, near, every))
+        trim()
 
     return tasks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(joined, "a long, b long")
 

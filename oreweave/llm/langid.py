@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod3, text_hash, within
-from .packed import SLICE, Packed, slices
-from .subword import Adam, all_words, distinct_words, ngrams, segment_sums
+from .packed import PART, Packed, slices, trim
+from .subword import Adam, all_words, distinct_words, ngrams, picked_sums, segment_sums
 
 SIZES = (1, 2, 3, 4)
 #: Words of a text worked on in step; longer texts are that many blocks.
 BLOCK = 32
 #: Bytes of text whose words are held at once; those of larger slices took two workers of an executor over its memory.
-BYTES = SLICE // 4
+BYTES = PART
 
 
 @dataclass
@@ -154,7 +154,7 @@ def train(texts: list[str], languages: list[str], bits: int = 16, epochs: int =
     w, lex, start, moves = np.zeros((1 << bits, k)), np.zeros((len(listed) + 1, k)), np.zeros(k), np.zeros((k, k))
     adam, total = Adam([w.shape, lex.shape, start.shape, moves.shape], rate), float(seq.size)
     for _ in range(epochs):
-        s = segment_sums(w[feats] * root[:, None], owner, len(hashes)) + lex[slot]
+        s = picked_sums(w, feats, root, owner, len(hashes)) + lex[slot]
         emit = np.exp(s - s.max(axis=1, keepdims=True))[x]
         step, a = np.exp(moves), np.empty((span, rows, k))
         state = np.exp(start) * emit[:, 0]
@@ -173,7 +173,7 @@ def train(texts: list[str], languages: list[str], bits: int = 16, epochs: int =
         g = (segment_sums(seen.reshape(-1, k), x.ravel(), len(hashes)) - gold) / total
         dlex = segment_sums(g, slot, len(listed) + 1)
         dlex[-1] = 0
-        adam.step([w, lex, start, moves], [segment_sums(g[owner] * root[:, None], feats, 1 << bits) + decay * w, dlex + decay * lex, (seen[:, 0].sum(axis=0) - gold_start) / total, (expect - gold_moves) / total])
+        adam.step([w, lex, start, moves], [picked_sums(g, owner, root, feats, 1 << bits) + decay * w, dlex + decay * lex, (seen[:, 0].sum(axis=0) - gold_start) / total, (expect - gold_moves) / total])
     rank = np.argsort(hashes[listed])
     return Field(names, bits, w, hashes[listed][rank], lex[:-1][rank], start, moves)
 
@@ -203,6 +203,7 @@ def sample(docs: DataFrame, most: int = 150, total: int = 9600, most_bytes: int
 def identify(docs: DataFrame, most: int = 150) -> DataFrame:
     """``doc_id, text, lang`` to ``doc_id, held_out, lang_pred, score``; every other column of ``docs`` but these follows."""
     field = docs.sparkSession.sparkContext.broadcast(train(*sample(docs, most)))
+    trim()
     extra = [f for f in docs.schema.fields if f.name not in ("doc_id", "text", "held_out", "lang_pred", "score", "_letters")]
 
     def labelled(batches):
@@ -222,6 +223,7 @@ def identify(docs: DataFrame, most: int = 150) -> DataFrame:
             best, score = np.where(letters, best, len(f.languages)), np.where(letters, np.clip(score, 0, 1), 0.0)
             cols = {"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "lang_pred": pa.array(names[best], pa.string()), "score": pa.array(score), "text": b.column("text")}
             yield pa.RecordBatch.from_pydict(cols | {x.name: b.column(x.name) for x in extra})
+        trim()
 
     read = docs.select("doc_id", (crc_mod3(F.col("doc_id")) == 1).alias("held_out"), "text", F.col("text").rlike(r"\p{L}").alias("_letters"), *[F.col(x.name) for x in extra])
     kind = docs.schema["doc_id"].dataType.simpleString()

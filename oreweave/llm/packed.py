@@ -6,6 +6,7 @@ bit mixer; equal content has equal hashes wherever it stands.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ _LOWER[65:91] += 32
 _MASK = (1 << 64) - 1
 #: Bytes of text worked on at a time.
 SLICE = 2_000_000
+#: The same where little is kept of it: arrays over bytes and their words take some 50 times as much.
+PART = SLICE // 4
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -113,5 +116,14 @@ def slices(column: pa.Array, limit: int = SLICE, lower: bool = False) -> Iterato
         i = j
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on after a task, beside an executor that needs it by then."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # other systems than those with glibc
+        pass
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .packed import _BYTE, Packed, Rolling, slices
+from .packed import _BYTE, PART, Packed, Rolling, slices
 
 U = np.uint64
 
@@ -47,7 +47,7 @@ def all_words(column: pa.Array, sizes: tuple[int, ...], bits: int) -> tuple[np.n
     Texts are gone through in slices, so that byte-wise arrays stay small beside the texts themselves.
     """
     hashes, docs, totals = [], [], []
-    for i, _, p in slices(column, lower=True):
+    for i, _, p in slices(column, PART, lower=True):
         hashes.append(p.word_hashes())
         docs.append(i + p.doc)
         totals.append(p.n_words)
@@ -55,7 +55,7 @@ def all_words(column: pa.Array, sizes: tuple[int, ...], bits: int) -> tuple[np.n
         return np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.int32), np.zeros(0, np.int32)
     vocabulary, which = np.unique(np.concatenate(hashes), return_inverse=True)
     feats, owner, todo = [], [], np.ones(len(vocabulary), bool)
-    for _, _, p in slices(column, lower=True):
+    for _, _, p in slices(column, PART, lower=True):
         first, _, own = distinct_words(p)
         at = np.searchsorted(vocabulary, own)
         new = todo[at]
@@ -75,6 +75,11 @@ def segment_sums(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(owner, values[:, k], n) for k in range(values.shape[1])], axis=1)
 
 
+def picked_sums(values: np.ndarray, at: np.ndarray, weight: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """:func:`segment_sums` of ``values[at] * weight``, of which only a column is held at once."""
+    return np.stack([np.bincount(owner, values[at, k] * weight, n) for k in range(values.shape[1])], axis=1)
+
+
 class Adam:
     def __init__(self, shapes: list[tuple[int, ...]], rate: float):
         self.rate, self.t = rate, 0
