@@ -2,12 +2,14 @@
 
 import random
 import time
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 from test_operators import plain_hops
 
 from oreweave import adapters, queries
+from oreweave.functions import hoods
 from oreweave.operators import callgraph, selection
 from oreweave.plans import store
 
@@ -86,3 +88,54 @@ def test_edges_need_no_further_order(spark, sf_dir):
     got = adapters.edges(spark, sf_dir)
     assert not any("l_extendedprice" in x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation" not in x)
     assert sorted(map(tuple, got.select("src", "dst").collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.fixture
+def far(monkeypatch):
+    """Searches read stored pages; few cells at once, so that those found are merged in between and in batches."""
+    monkeypatch.setattr(callgraph, "search", partial(callgraph.search, most_dealt=0, most_times=0))
+    monkeypatch.setattr(hoods, "FOUND", 3000)
+
+
+@pytest.mark.parametrize("corrected", [False, True])
+def test_lists_are_not_dealt_to_blocks_without_locality(spark, far, monkeypatch, corrected):
+    functions, edges = graph(spark)
+    some = edges.filter("src % 3 = 0").selectExpr("binary_id", "src as target")
+    makes = [
+        lambda: selection.candidates(functions, edges, corrected=corrected),
+        lambda: selection.candidates(functions, edges, 3, some, corrected),
+        lambda: callgraph.neighbours(edges, 3, corrected=corrected),
+        lambda: selection.picked_of(functions, edges, 700, corrected=corrected),
+        lambda: selection.groups_of(functions, edges, 90, corrected=corrected),
+        lambda: selection.bundles_of(functions, edges, corrected=corrected),
+    ]
+    got = [make() for make in makes]
+    plan = got[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CartesianProduct" in plan
+    got = [sorted(map(str, x.collect())) for x in got]
+    monkeypatch.undo()
+    want = [sorted(map(str, make().collect())) for make in makes]
+    assert got == want and min(map(len, got)) > 20
+
+
+def test_found_cells_are_merged_in_bounds(monkeypatch):
+    monkeypatch.setattr(hoods, "CELLS", 16)
+    monkeypatch.setattr(hoods, "PIECE", 500)
+    rng = random.Random(3)
+    edges = {(rng.randrange(30), rng.randrange(30)) for _ in range(150)}
+    node = range(30)
+    out, into = ([sorted({b for a, b in es if a == n}) for n in node] for es in (edges, {(b, a) for a, b in edges}))
+    near = hoods.pa.table({"n": list(node), "kind": [1] * 30, "outs": out, "ins": into})
+    page = lambda ns: next(hoods.packed(iter(hoods.pa.table({"binary_id": ["b"] * len(ns), "page": [ns[0]] * len(ns), "n": ns, "own": [True] * len(ns), "outs": [out[n] for n in ns], "ins": [into[n] for n in ns]}).to_batches()), ["n", "own", "outs", "ins"], {"b": (0, 5)}))
+    rows = hoods.pa.Table.from_batches([page(ns).append_column("step", hoods.pa.array([step] * page(ns).num_rows)) for step in range(3) for ns in (list(range(12)), list(range(12, 30)))])
+    for c, value in (("lo", 0), ("hi", 29), ("base", 0), ("bits", 5)):
+        rows = rows.append_column(c, hoods.pa.array([value] * rows.num_rows))
+    batch = rows.combine_chunks().to_batches()[0]
+    near = near.append_column("binary_id", hoods.pa.array(["b"] * 30))
+    cells = lambda space: sorted((t, a, r) for x in hoods.by_role(hoods.Block(space)) for t, a, r in zip(x["target"].tolist(), x["addr"].tolist(), zip(x["calls"].tolist(), x["degree"].tolist()), strict=True))
+    want = cells(hoods.Near(near, 3, False))
+    for found in (40, 100_000):
+        monkeypatch.setattr(hoods, "FOUND", found)
+        assert cells(hoods.Far(iter([batch]), 3, False)) == want and len(want) > 500
+    with pytest.raises(RuntimeError):
+        cells(hoods.Far(iter([batch.slice(batch.num_rows // 2), batch]), 3, False))
