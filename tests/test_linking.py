@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from oreweave import queries
+from oreweave import adapters, queries
 from oreweave.functions import columns as C
 from oreweave.functions import python as P
 from oreweave.operators import linking
@@ -73,3 +73,8 @@ def test_lists_of_programs_are_not_shuffled(spark, sf_dir):
     for name in ("link_programs", "program_tags"):
         plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan[: plan.index("FlatMapGroupsInArrow")]
+
+
+def test_symbols_are_dealt_by_object_once(spark, sf_dir):
+    plan = adapters.symbols(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.index("Union")].count("Exchange") == 1
